@@ -66,12 +66,11 @@ def without_stop_words(tokens: Column, stop_words) -> Column:
 
 
 def bigrams(tokens: Column) -> Column:
-    """M3: adjacent pairs joined by one space (empty for fewer than two tokens)."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - 1),
-        lambda i: F.concat(F.get(tokens, i - 1), F.lit(" "), F.get(tokens, i)),
-    )
-    return F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    """M3: adjacent pairs joined by one space (empty for fewer than two tokens). Pass a column
+    reference: the lambda sees only its own arguments, so the token array is computed once."""
+    n = F.size(tokens)
+    return F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))),
+                      lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def lexicon_words(c) -> Column:

@@ -113,7 +113,8 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col="review_id", text_c
     agg = rows.groupBy(*ids).agg(
         F.sum(F.coalesce(v * factor, F.lit(0.0))).alias("_s"), F.max("_ex").alias("_ex"),
         F.max("_qm").alias("_qm"), *[F.max(c).alias(c) for c in carry])
-    s, qm = F.col("_s"), F.col("_qm")
+    # Summation order differs between engines and runs; rounding keeps exact cancellations at zero.
+    s, qm = F.round(F.col("_s"), 10), F.col("_qm")
     punct = (F.least(F.col("_ex"), F.lit(d.EXCLAIM_MAX)) * d.EXCLAIM_INCR
              + F.when(qm > 1, F.when(qm <= 3, qm * d.QUESTION_INCR).otherwise(F.lit(d.QUESTION_CAP))).otherwise(0.0))
     s2 = F.when(s > 0, s + punct).when(s < 0, s - punct).otherwise(s)

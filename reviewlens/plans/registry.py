@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import model_queries, text_queries
 
-GROUPS = [text_queries]
+GROUPS = [text_queries, model_queries]
 
 
 def queries() -> dict:

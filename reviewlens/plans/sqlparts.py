@@ -97,23 +97,23 @@ def seed_lexicon_values() -> str:
 
 
 def corpus_lexicon_cte(src: str = "reviews", min_df: int = 5) -> str:
-    return f"""lab AS (SELECT review_id, sentiment, review_text FROM {src} WHERE sentiment IN ('positive', 'negative')),
-lab_cnt AS (SELECT count(*) FILTER (WHERE sentiment = 'positive') AS np,
-                   count(*) FILTER (WHERE sentiment = 'negative') AS nn FROM lab),
-lab_tok AS (SELECT DISTINCT l.review_id, l.sentiment, lower(t.w) AS token
-            FROM lab l, unnest({lexicon_words('l.review_text')}) AS t(w)),
-lab_g AS (SELECT token, count(*) FILTER (WHERE sentiment = 'positive') AS dp,
+    return f"""lx_lab AS (SELECT review_id, sentiment, review_text FROM {src} WHERE sentiment IN ('positive', 'negative')),
+lx_cnt AS (SELECT count(*) FILTER (WHERE sentiment = 'positive') AS np,
+                   count(*) FILTER (WHERE sentiment = 'negative') AS nn FROM lx_lab),
+lx_tok AS (SELECT DISTINCT l.review_id, l.sentiment, lower(t.w) AS token
+            FROM lx_lab l, unnest({lexicon_words('l.review_text')}) AS t(w)),
+lx_g AS (SELECT token, count(*) FILTER (WHERE sentiment = 'positive') AS dp,
                  count(*) FILTER (WHERE sentiment = 'negative') AS dn
-          FROM lab_tok GROUP BY token HAVING count(*) >= {min_df}),
-induced AS (SELECT token, CASE WHEN dp * nn >= 2 * dn * np THEN 2.0
+          FROM lx_tok GROUP BY token HAVING count(*) >= {min_df}),
+lx_induced AS (SELECT token, CASE WHEN dp * nn >= 2 * dn * np THEN 2.0
                                WHEN 2 * dp * nn <= dn * np THEN -2.0
                                WHEN 4 * dp * nn >= 5 * dn * np THEN 1.0
                                WHEN 5 * dp * nn <= 4 * dn * np THEN -1.0 END::DOUBLE AS valence
-            FROM lab_g, lab_cnt),
-seed AS (SELECT * FROM {seed_lexicon_values()}),
-lexicon AS (SELECT token, valence FROM induced
-            WHERE valence IS NOT NULL AND token NOT IN (SELECT token FROM seed)
-            UNION ALL SELECT token, valence FROM seed)"""
+            FROM lx_g, lx_cnt),
+lx_seed AS (SELECT * FROM {seed_lexicon_values()}),
+lexicon AS (SELECT token, valence FROM lx_induced
+            WHERE valence IS NOT NULL AND token NOT IN (SELECT token FROM lx_seed)
+            UNION ALL SELECT token, valence FROM lx_seed)"""
 
 
 def lexicon_scores_cte(src: str, id_col: str, text_col: str, name: str = "scores", carry: str = "") -> str:
@@ -168,7 +168,7 @@ def lexicon_scores_cte(src: str, id_col: str, text_col: str, name: str = "scores
                        (CASE WHEN but = 0 THEN 1.0 WHEN wpos + 1 < but THEN {d.BUT_BEFORE}
                              WHEN wpos + 1 > but THEN {d.BUT_AFTER} ELSE 1.0 END)) AS s
   FROM {prev} GROUP BY {id_col})""")
-    s = "coalesce(sm.s, 0.0)"
+    s = "round(coalesce(sm.s, 0.0), 10)"
     punct = (f"(least(x.ex, {d.EXCLAIM_MAX}) * {d.EXCLAIM_INCR} + CASE WHEN x.qm > 1 THEN "
              f"(CASE WHEN x.qm <= 3 THEN x.qm * {d.QUESTION_INCR} ELSE {d.QUESTION_CAP} END) ELSE 0.0 END)")
     s2 = f"(CASE WHEN {s} > 0 THEN {s} + {punct} WHEN {s} < 0 THEN {s} - {punct} ELSE {s} END)"
