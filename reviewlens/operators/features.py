@@ -44,15 +44,16 @@ def with_terms(df: DataFrame, text_col: str = "review_text", out: str = "terms",
             .withColumn(out, F.concat(F.col("_tok"), tx.bigrams(F.col("_tok")))).drop("_tok"))
 
 
-def term_counts(df: DataFrame, id_col: str = "review_id", text_col: str = "review_text",
+def term_counts(df: DataFrame, id_col="review_id", text_col: str = "review_text",
                 vocab: DataFrame | None = None) -> DataFrame:
-    """(id, term, n). With ``vocab`` (bounded by max_features, broadcast) only vocabulary terms are
-    kept before the aggregation shuffles anything."""
-    x = with_terms(df.select(id_col, text_col), text_col, "_terms") \
-        .select(id_col, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
+    """(ids, term, n). ``id_col`` is a name or a list. With ``vocab`` (bounded by max_features,
+    broadcast) only vocabulary terms are kept before the aggregation shuffles anything."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    x = with_terms(df.select(*ids, text_col), text_col, "_terms") \
+        .select(*ids, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
     if vocab is not None:
         x = x.join(F.broadcast(vocab.select("term")), "term", "left_semi")
-    return x.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit_vocabulary(counts: DataFrame, min_df: int = d.MIN_DF, max_features: int = d.MAX_FEATURES,
@@ -70,11 +71,12 @@ def fit_idf(vocab: DataFrame, n_docs: int) -> DataFrame:
                         (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
-def tfidf(counts: DataFrame, idf: DataFrame, id_col: str = "review_id") -> DataFrame:
-    """M6: (id, term, term_index, weight) = count * idf, L2-normalised per document."""
+def tfidf(counts: DataFrame, idf: DataFrame, id_col="review_id") -> DataFrame:
+    """M6: (ids, term, term_index, weight) = count * idf, L2-normalised per document."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     x = counts.join(F.broadcast(idf), "term").withColumn("w", F.col("n") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return x.select(id_col, "term", "term_index", (F.col("w") / norm).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))
+    return x.select(*ids, "term", "term_index", (F.col("w") / norm).alias("weight"))
 
 
 def class_weights(df: DataFrame, label_col: str = "sentiment") -> DataFrame:

@@ -70,12 +70,13 @@ def linear_weights(counts_train: DataFrame, labels: DataFrame, vocab: DataFrame,
 
 
 def linear_predict(weights_long: DataFrame, coef: DataFrame, intercept: float, docs: DataFrame,
-                   id_col: str = "review_id") -> DataFrame:
+                   id_col="review_id") -> DataFrame:
     """M9 (SQL form): label = positive when intercept + sum(weight * coef) > 0. ``docs`` lists the
     documents to score (those with no vocabulary term score the intercept)."""
-    s = weights_long.join(F.broadcast(coef), "term").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("coef")).alias("_s"))
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    s = weights_long.join(F.broadcast(coef), "term").groupBy(*ids).agg(F.sum(F.col("weight") * F.col("coef")).alias("_s"))
     score = F.lit(intercept) + F.coalesce(F.col("_s"), F.lit(0.0))
-    return docs.join(s, id_col, "left").withColumn("score", score) \
+    return docs.join(s, ids, "left").withColumn("score", score) \
         .withColumn("p", F.when(F.col("score") > 0, F.lit("positive")).otherwise(F.lit("negative"))).drop("_s")
 
 

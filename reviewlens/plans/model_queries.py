@@ -198,18 +198,31 @@ sp AS (SELECT o.review_id, o.review_text, o.sentiment, CASE WHEN o.rn <= k.k_tes
        FROM ord o JOIN ktest k USING (sentiment))"""
 
 
-def _terms_cte(src: str, name: str = "cnt") -> str:
-    return f"""{name}_tok AS (SELECT review_id, list_filter({S.word_tokens('review_text')}, lambda x: x NOT IN {_STOP}) AS t FROM {src}),
-{name}_trm AS (SELECT review_id, list_concat(t, CASE WHEN len(t) >= 2
+def _terms_cte(src: str, name: str = "cnt", ids: str = "review_id", text: str = "review_text") -> str:
+    return f"""{name}_tok AS (SELECT {ids}, list_filter({S.word_tokens(text)}, lambda x: x NOT IN {_STOP}) AS t FROM {src}),
+{name}_trm AS (SELECT {ids}, list_concat(t, CASE WHEN len(t) >= 2
           THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE []::VARCHAR[] END) AS terms FROM {name}_tok),
-{name} AS (SELECT review_id, u.term, count(*) AS n FROM {name}_trm, unnest(terms) AS u(term) GROUP BY ALL)"""
+{name} AS (SELECT {ids}, u.term, count(*) AS n FROM {name}_trm, unnest(terms) AS u(term) GROUP BY ALL)"""
+
+
+def score_cte(name: str, src: str, ids: str = "review_id", text: str = "review_text") -> str:
+    """Linear (log-count ratio) model scores for every row of ``src``: (ids, p). Needs FIT and NB."""
+    on = " AND ".join(f"x.{c.strip()} = sc.{c.strip()}" for c in ids.split(","))
+    xids = ", ".join(f"x.{c.strip()}" for c in ids.split(","))
+    return f"""{_terms_cte(src, name + '_c', ids, text)},
+{name}_w AS (SELECT c.*, c.n * i.idf AS w FROM {name}_c c JOIN idf i USING (term)),
+{name}_t AS (SELECT {ids}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {ids})) AS weight FROM {name}_w),
+{name}_s AS (SELECT {ids}, sum(t.weight * c.coef) AS s FROM {name}_t t JOIN coef c USING (term) GROUP BY {ids}),
+{name} AS (SELECT {xids}, CASE WHEN ln(CAST(trl.np AS DOUBLE) / CAST(trl.nn AS DOUBLE)) + coalesce(sc.s, 0.0) > 0
+                 THEN 'positive' ELSE 'negative' END AS p
+           FROM {src} x LEFT JOIN {name}_s sc ON {on}, trl)"""
 
 
 FIT = f"""{SPLIT},
 {_terms_cte('sp')},
 train_cnt AS (SELECT c.* FROM cnt c JOIN sp USING (review_id) WHERE sp.split = 'train'),
 vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, df, tf FROM (
-   SELECT term, count(*) AS df, sum(n) AS tf FROM train_cnt GROUP BY term HAVING count(*) >= {d.MIN_DF}
+   SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS tf FROM train_cnt GROUP BY term HAVING count(*) >= {d.MIN_DF}
    ORDER BY tf DESC, term LIMIT {d.MAX_FEATURES})),
 ntrain AS (SELECT count(*) AS n FROM sp WHERE split = 'train'),
 idf AS (SELECT term, term_index, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1.0 AS idf FROM vocab, ntrain)"""
@@ -268,10 +281,10 @@ ORACLE = {
     "lr_predict": f"WITH {S.BASE}, {FIT}, {NB} SELECT review_id, y, p FROM nbp",
     "accuracy": f"WITH {PRED} SELECT model_id, count(*) AS n, round(avg(CAST(y = p AS INTEGER)), 6) AS accuracy FROM pred GROUP BY model_id",
     "classification_report": f"""WITH {PRED}, {PER_CLASS}
-        SELECT model_id, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, n_true AS support FROM pcf
-        UNION ALL SELECT model_id, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(n_true) FROM pcf GROUP BY model_id
+        SELECT model_id, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(n_true AS BIGINT) AS support FROM pcf
+        UNION ALL SELECT model_id, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(n_true) AS BIGINT) FROM pcf GROUP BY model_id
         UNION ALL SELECT model_id, 'weighted avg', round(sum(precision * n_true) / sum(n_true), 6), round(sum(recall * n_true) / sum(n_true), 6),
-                         round(sum(f1 * n_true) / sum(n_true), 6), sum(n_true) FROM pcf GROUP BY model_id""",
+                         round(sum(f1 * n_true) / sum(n_true), 6), CAST(sum(n_true) AS BIGINT) FROM pcf GROUP BY model_id""",
     "confusion_matrix": f"""WITH {PRED}, grid AS (SELECT DISTINCT model_id, u.y FROM pred, unnest(['negative', 'positive']) AS u(y))
         SELECT g.model_id, g.y, count(p.p) FILTER (WHERE p.p = 'negative') AS negative, count(p.p) FILTER (WHERE p.p = 'positive') AS positive
         FROM grid g LEFT JOIN pred p ON p.model_id = g.model_id AND p.y = g.y GROUP BY g.model_id, g.y""",
