@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import model_queries, text_queries, topic_queries
+from . import crawl_queries, model_queries, text_queries, topic_queries
 
-GROUPS = [text_queries, model_queries, topic_queries]
+GROUPS = [text_queries, model_queries, topic_queries, crawl_queries]
 
 
 def queries() -> dict:
