@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import crawl_queries, model_queries, text_queries, topic_queries
+from . import crawl_queries, io_queries, model_queries, text_queries, topic_queries
 
-GROUPS = [text_queries, model_queries, topic_queries, crawl_queries]
+GROUPS = [text_queries, model_queries, topic_queries, crawl_queries, io_queries]
 
 
 def queries() -> dict:
