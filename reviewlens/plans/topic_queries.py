@@ -279,3 +279,26 @@ ORACLE = {
     "keyword_aspect_topics": f"""WITH {S.BASE}, {S.sentences_cte()} SELECT review_id, pos,
         {S.keyword_aspect('sentence', d.TOPIC_ASPECT_KEYWORDS)} AS aspect FROM sentences""",
 }
+
+
+# A1 / A2 (checked by invariants: unit norms, orthonormal components)
+def q_embed(spark, sf):
+    from ..operators import cluster as cl
+    from ..operators import text as tt2
+
+    s = tt2.sentence_table(common.reviews(spark, sf))
+    e = cl.hashed_tfidf(s)
+    st = cl.vector_stats(e, ["review_id", "pos"])
+    return st.select("review_id", "pos", "nnz", F.round("norm", 6).alias("norm"))
+
+
+def q_pca5(spark, sf):
+    from ..operators import cluster as cl
+
+    e = cl.from_array(tables.table(spark, sf, "embeddings"))
+    red, _ = cl.reduce_pca(e, 5)
+    return red.select("vec_id", *[F.round(F.col("reduced")[i], 6).alias(f"pc{i}") for i in range(5)])
+
+
+QUERIES["embed"] = q_embed
+QUERIES["pca5"] = q_pca5
