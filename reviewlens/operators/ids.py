@@ -21,31 +21,45 @@ from pyspark.sql import functions as F
 MAX_BUCKETS = 20000
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster when the input arrived in fewer partitions than there are cores
+    (for example one un-splittable file). Large inputs already have many splits: no-op."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def dense_id(df: DataFrame, key: str, out: str, key_source: DataFrame | None = None,
-             rows_per_bucket: int = 200_000) -> DataFrame:
+             rows_per_bucket: int = 2_000_000, broadcast_max: int = 4_000_000) -> DataFrame:
     """Append ``out`` = position of the row in ``key`` order (0-based, dense). ``key`` must be
-    unique and numeric. ``key_source`` (default ``df``) is a cheap frame holding the same key values or
-    a superset of them, scanned once for the row count and the quantile boundaries."""
-    src = (key_source if key_source is not None else df).select(F.col(key).cast("double").alias("_k"))
-    n = src.count()
+    unique and numeric.
+
+    Only the key column is numbered: range buckets from ``approxQuantile`` (balanced even when key
+    values are skewed), a window per bucket, and a running offset per bucket (one small row per
+    bucket). The (key, id) map then joins back to the rows: broadcast when its counted size allows,
+    else a shuffle join, so the wide rows keep their own partitioning. ``key_source`` is unused and
+    kept for callers that pass a cheaper frame with the same keys.
+    """
+    keys = df.select(F.col(key))
+    n = keys.count()
     n_buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket))))
     splits: list[float] = []
     if n_buckets > 1:
-        qs = src.approxQuantile("_k", [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets))
+        qs = keys.approxQuantile(key, [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets))
         splits = sorted(set(q for q in qs if q is not None))
-    if not splits:
-        # Everything fits one bucket (at most rows_per_bucket rows): one small window.
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint"))
-    bucketed = Bucketizer(
-        splits=[-math.inf, *splits, math.inf], inputCol="_kd", outputCol="_b", handleInvalid="keep"
-    ).transform(df.withColumn("_kd", F.col(key).cast("double"))).drop("_kd")
-    ranked = bucketed.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    sizes = ranked.groupBy("_b").agg(F.max("_rn").alias("_n"))
-    # One row per bucket (at most MAX_BUCKETS): a single small window, then a bounded broadcast.
-    offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
-    return (ranked.join(F.broadcast(offsets), "_b")
-            .withColumn(out, (F.col("_rn") - 1 + F.col("_off")).cast("bigint"))
-            .drop("_b", "_rn", "_off"))
+    if splits:
+        bucketed = Bucketizer(
+            splits=[-math.inf, *splits, math.inf], inputCol="_kd", outputCol="_b", handleInvalid="keep"
+        ).transform(keys.withColumn("_kd", F.col(key).cast("double"))).drop("_kd")
+        ranked = bucketed.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+        sizes = ranked.groupBy("_b").agg(F.max("_rn").alias("_n"))
+        # One row per bucket (at most MAX_BUCKETS): a single small window, then a bounded broadcast.
+        offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
+        ids = ranked.join(F.broadcast(offsets), "_b").select(key, (F.col("_rn") - 1 + F.col("_off")).cast("bigint").alias(out))
+    else:
+        # At most rows_per_bucket narrow keys: one small window.
+        ids = keys.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint").alias(out))
+    ids = F.broadcast(ids) if n <= broadcast_max else ids
+    return df.join(ids, key)
 
 
 def seeded_hash(id_cols: list[str], seed: int) -> Column:

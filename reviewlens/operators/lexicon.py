@@ -110,9 +110,8 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col="review_id", text_c
     but = F.col("_but")
     factor = (F.when(but == 0, F.lit(1.0)).when(F.col("_pos") + 1 < but, F.lit(d.BUT_BEFORE))
               .when(F.col("_pos") + 1 > but, F.lit(d.BUT_AFTER)).otherwise(F.lit(1.0)))
-    agg = rows.groupBy(*ids).agg(
-        F.sum(F.coalesce(v * factor, F.lit(0.0))).alias("_s"), F.max("_ex").alias("_ex"),
-        F.max("_qm").alias("_qm"), *[F.max(c).alias(c) for c in carry])
+    # Per-row columns are functions of the id, so they group along (hash aggregate, no sort).
+    agg = rows.groupBy(*ids, *carry, "_ex", "_qm").agg(F.sum(F.coalesce(v * factor, F.lit(0.0))).alias("_s"))
     # Summation order differs between engines and runs; rounding keeps exact cancellations at zero.
     s, qm = F.round(F.col("_s"), 10), F.col("_qm")
     punct = (F.least(F.col("_ex"), F.lit(d.EXCLAIM_MAX)) * d.EXCLAIM_INCR

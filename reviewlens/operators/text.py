@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..sources.dictionaries import (LABEL2ID, MIN_REVIEW_CHARS, MIN_SENTENCE_CHARS, SAMPLE_SEED,
                                     SAMPLE_SIZE)
 from ..session import scratch_path
-from .ids import dense_id, hash_first_k
+from .ids import dense_id, ensure_parallelism, hash_first_k
 
 
 def clean_reviews(raw: DataFrame, text_col: str = "review", label_col: str = "sentiment") -> DataFrame:
@@ -28,7 +28,7 @@ def prepare_reviews(raw: DataFrame, key: str = "doc_id", key_source: DataFrame |
     ``sentiment`` copy of the label. Columns: key, review_text, label_sentiment, review_id, sentiment."""
     # Stage boundary (as the reviews file is in the original flow): cleaned, filtered rows are
     # written once to the shared folder, so numbering reads only the key column for its counts.
-    df = materialize(length_filter(clean_reviews(raw)), "reviews_clean")
+    df = materialize(length_filter(clean_reviews(ensure_parallelism(raw))), "reviews_clean")
     df = dense_id(df, key, "review_id", key_source=key_source if key_source is not None else raw.select(key))
     return df.withColumn("sentiment", F.col("label_sentiment"))
 
