@@ -126,9 +126,12 @@ def _parse_page(html: str, sel: Selectors):
                             import re
                             self.cur["rating"] = int(re.match(r"rated-(\d+)", c).group(1)) / 2.0
                             break
-                if tag == "p" and in_body and sel.body_tag is not None and "contains-spoilers-warning" not in cls:
-                    self.cur["_p"] = []
-                    self.cur["paras"].append(self.cur["_p"])
+                if tag == "p":
+                    if in_body and sel.body_tag is not None and "contains-spoilers-warning" not in cls:
+                        self.cur["_p"] = []
+                        self.cur["paras"].append(self.cur["_p"])
+                    else:
+                        self.cur["_p"] = None
                 if tag == "span" and "_nobr" in cls and self.cur["date"] is None:
                     self.cur["_f"] = ("date", len(self.stack), [])
                 elif tag == "time" and self.cur["date"] is None and self.cur["_f"] is None:
@@ -137,6 +140,8 @@ def _parse_page(html: str, sel: Selectors):
                     self.cur["_f"] = ("likes", len(self.stack), [])
 
         def handle_endtag(self, tag):
+            if tag == "p" and self.cur is not None:
+                self.cur["_p"] = None
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] == tag:
                     del self.stack[i:]

@@ -41,7 +41,7 @@ def fit_logistic(train: DataFrame, label_col: str = "sentiment", max_iter: int =
     sum_w = x.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                             regParam=1.0 / (c * sum_w), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=1e-9, fitIntercept=True)
+                            maxIter=max_iter, tol=1e-6, fitIntercept=True)
     return lr.fit(x)
 
 

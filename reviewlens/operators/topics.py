@@ -37,7 +37,7 @@ def assign_topics(sentences: DataFrame, topic_map: DataFrame, cluster_col: str)
 
 
 def topic_word_scores(docs: DataFrame, class_col: str = "topic_id", text_col: str = "sentence",
-                      top_n: int = d.TOP_N_WORDS) -> DataFrame:
+                      top_n: int = d.TOP_N_WORDS, salts: int = 64) -> DataFrame:
     """A5: class-based TF-IDF, W(t,c) = tf(t,c)/n(c) * ln(1 + A/f(t)) with A the integer mean of words
     per class; top ``top_n`` words per class (ties: word ascending). (class, word, score, rank)."""
     w = docs.select(class_col, F.explode_outer(tx.word_tokens(text_col)).alias("word")).where(F.col("word").isNotNull())
@@ -47,7 +47,13 @@ def topic_word_scores(docs: DataFrame, class_col: str = "topic_id", text_col: st
     a = int(nc.agg(F.avg("nc")).first()[0] or 0)
     x = tf.join(sized_broadcast(nc), class_col).join(ft, "word")
     x = x.withColumn("score", F.col("tf") / F.col("nc") * F.log(F.lit(1.0) + F.lit(a) / F.col("ft")))
-    r = F.row_number().over(Window.partitionBy(class_col).orderBy(F.desc("score"), "word"))
+    # Two-level top-k: a topic with a huge vocabulary is split over word-hash salts first, so no task
+    # sorts a whole topic; the second window sees at most salts x top_n rows per topic.
+    order = (F.desc("score"), "word")
+    x = x.withColumn("_salt", F.pmod(F.hash("word"), F.lit(salts)))
+    x = x.withColumn("_r1", F.row_number().over(Window.partitionBy(class_col, "_salt").orderBy(*order))) \
+        .where(F.col("_r1") <= top_n)
+    r = F.row_number().over(Window.partitionBy(class_col).orderBy(*order))
     return x.withColumn("rank", r).where(F.col("rank") <= top_n).select(class_col, "word", "score", "rank")
 
 

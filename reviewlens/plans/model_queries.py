@@ -15,15 +15,15 @@ from . import common
 from . import sqlparts as S
 
 
-def _split(spark, sf):
-    r = common.reviews(spark, sf)
+def _split(spark, sf, r=None):
+    r = r if r is not None else common.reviews(spark, sf)
     lab = tt.drop_nulls(r, ["review_text", "sentiment"]).select("review_id", "review_text", "sentiment")
     return r, fe.stratified_split(lab)
 
 
-def _fitted(spark, sf):
+def _fitted(spark, sf, r=None):
     """Split, per-document term counts, vocabulary and idf fitted on the training part."""
-    r, sp = _split(spark, sf)
+    r, sp = _split(spark, sf, r)
     sp = tt.materialize(sp, "split")
     counts = fe.term_counts(sp)
     train_ids = sp.where(F.col("split") == "train").select("review_id")

@@ -21,15 +21,15 @@ from . import model_queries as mq
 from . import sqlparts as S
 
 
-def _sentences_with_source(spark, sf):
-    r = common.reviews(spark, sf)
+def _sentences_with_source(spark, sf, r=None):
+    r = r if r is not None else common.reviews(spark, sf)
     src = tables.table(spark, sf, "documents").select("doc_id", "source", "lang")
     rs = r.join(src, "doc_id")
     return r, tt.explode_sentences(rs, "review_text", ["review_id", "source", "lang"])
 
 
-def _topics(spark, sf):
-    r, s = _sentences_with_source(spark, sf)
+def _topics(spark, sf, r=None):
+    r, s = _sentences_with_source(spark, sf, r)
     s = tt.materialize(s, "sentences")
     tmap = tp.number_topics(s, "source")
     st = tp.assign_topics(s, tmap, "source")
@@ -46,8 +46,8 @@ def _corpus_keywords(s):
                      F.col("word").alias("keyword"))
 
 
-def _mapping(spark, sf):
-    r, s, tmap, st, words = _topics(spark, sf)
+def _mapping(spark, sf, r=None):
+    r, s, tmap, st, words = _topics(spark, sf, r)
     kw = _corpus_keywords(s)
     return r, s, tmap, st, words, kw, tp.topic_aspects(words, kw)
 
@@ -85,8 +85,8 @@ def q_sentence_aspect(spark, sf):
     return tp.sentence_aspects(st, m).select("review_id", "pos", "topic_id", "aspect")
 
 
-def _model(spark, sf):
-    r, sp, counts, train_counts, vocab, idf = mq._fitted(spark, sf)
+def _model(spark, sf, r=None):
+    r, sp, counts, train_counts, vocab, idf = mq._fitted(spark, sf, r)
     train_labels = sp.where(F.col("split") == "train").select("review_id", "sentiment")
     coef, b = md.linear_weights(train_counts, train_labels, vocab)
     return an.LinearTextModel(idf.checkpoint(), coef.checkpoint(), b)
@@ -94,8 +94,9 @@ def _model(spark, sf):
 
 def _final(spark, sf):
     """aspect_sentiment_final: (review_id, pos, sentence, aspect, sentence_sentiment)."""
-    model = _model(spark, sf)
-    _, _, _, st, _, _, m = _mapping(spark, sf)
+    r = common.reviews(spark, sf)
+    model = _model(spark, sf, r)
+    _, _, _, st, _, _, m = _mapping(spark, sf, r)
     sa = tp.sentence_aspects(st, m).select("review_id", "pos", "sentence", "aspect")
     return model.predict(sa, ["review_id", "pos"], "sentence", out="sentence_sentiment")
 
