@@ -24,11 +24,25 @@ class LinearTextModel:
     coef: DataFrame       # (term, coef)
     intercept: float
 
-    def predict(self, df: DataFrame, id_col, text_col: str, out: str = "sentiment") -> DataFrame:
+    def predict(self, df: DataFrame, id_col, text_col: str, out: str = "sentiment", carry=()) -> DataFrame:
+        """(ids, *carry, out) for every row of ``df`` in one pass: narrow term rows probe a broadcast
+        (term, idf, coef) table (at most max_features rows); per document the score is
+        b + sum(n*idf*coef) / sqrt(sum((n*idf)^2)) (TF-IDF with L2 norm, then the linear model).
+        Documents without a vocabulary term score b. ``carry`` names narrow columns kept per row."""
         ids = [id_col] if isinstance(id_col, str) else list(id_col)
-        counts = fe.term_counts(df, ids, text_col, vocab=self.idf)
-        w = fe.tfidf(counts, self.idf, ids)
-        return md.linear_predict(w, self.coef, self.intercept, df, ids).withColumnRenamed("p", out).drop("score")
+        keys = [*ids, *carry]
+        table = F.broadcast(self.idf.select("term", "idf").join(self.coef, "term"))
+        # A null sentinel term keeps every document; other terms survive only if in the vocabulary.
+        t = fe.with_terms(df.select(*keys, text_col), text_col, "_terms") \
+            .select(*keys, F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "_terms")).alias("term"))
+        t = t.join(table, "term", "left").where(F.col("idf").isNotNull() | F.col("term").isNull())
+        per_term = t.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"), F.first("idf").alias("idf"),
+                                                 F.first("coef").alias("coef"))
+        w = F.coalesce(F.col("n") * F.col("idf"), F.lit(0.0))
+        doc = per_term.groupBy(*keys).agg(F.sum(w * F.coalesce(F.col("coef"), F.lit(0.0))).alias("_dot"),
+                                          F.sqrt(F.sum(w * w)).alias("_norm"))
+        score = F.lit(self.intercept) + F.when(F.col("_norm") > 0, F.col("_dot") / F.col("_norm")).otherwise(F.lit(0.0))
+        return doc.select(*keys, F.when(score > 0, F.lit("positive")).otherwise(F.lit("negative")).alias(out))
 
 
 def analyze_reviews(requests: DataFrame, model: LinearTextModel, id_col: str = "review_id",
@@ -45,11 +59,13 @@ def analyze_reviews(requests: DataFrame, model: LinearTextModel, id_col: str = "
         from ..functions import text as tx
         x = x.withColumn(text_col, tx.clean_text(text_col))
     x = tt.reject_split(x, text_col)
+    # Validated requests are a stage table: sentences and the whole-text score both read it.
+    x = tt.materialize(x, "requests_checked")
     ok = x.where(F.col("reject_reason").isNull()).select(id_col, text_col)
     rejected = x.where(F.col("reject_reason").isNotNull()).select(id_col, "reject_reason")
     s = tt.explode_sentences(ok, text_col, [id_col], min_len=0).withColumn("aspect", fa.keyword_aspect("sentence"))
-    s = model.predict(s, [id_col, "pos"], "sentence")
-    overall = model.predict(ok, id_col, text_col, out="overall_sentiment").select(id_col, "overall_sentiment")
+    s = model.predict(s, [id_col, "pos"], "sentence", carry=("sentence", "aspect"))
+    overall = model.predict(ok, id_col, text_col, out="overall_sentiment")
     bd = s.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "aspect", "sentiment"))).alias("breakdown"))
     accepted = overall.join(bd, id_col, "left")
     return accepted, rejected, s

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources import dictionaries as d
 from .lexicon import sized_broadcast
+from .text import materialize
 
 
 def number_topics(assign: DataFrame, cluster_col: str, id_cols=("review_id", "pos"),
@@ -41,7 +42,8 @@ def topic_word_scores(docs: DataFrame, class_col: str = "topic_id", text_col: st
     """A5: class-based TF-IDF, W(t,c) = tf(t,c)/n(c) * ln(1 + A/f(t)) with A the integer mean of words
     per class; top ``top_n`` words per class (ties: word ascending). (class, word, score, rank)."""
     w = docs.select(class_col, F.explode_outer(tx.word_tokens(text_col)).alias("word")).where(F.col("word").isNotNull())
-    tf = w.groupBy(class_col, "word").agg(F.count(F.lit(1)).alias("tf"))
+    # (class, word) counts feed three aggregates and a scalar: written once as a stage table.
+    tf = materialize(w.groupBy(class_col, "word").agg(F.count(F.lit(1)).alias("tf")), "class_word_counts")
     nc = tf.groupBy(class_col).agg(F.sum("tf").alias("nc"))
     ft = tf.groupBy("word").agg(F.sum("tf").alias("ft"))
     a = int(nc.agg(F.avg("nc")).first()[0] or 0)

@@ -206,14 +206,15 @@ def _terms_cte(src: str, name: str = "cnt", ids: str = "review_id", text: str =
 
 
 def score_cte(name: str, src: str, ids: str = "review_id", text: str = "review_text") -> str:
-    """Linear (log-count ratio) model scores for every row of ``src``: (ids, p). Needs FIT and NB."""
+    """Linear (log-count ratio) model labels for every row of ``src``: (ids, p). Needs FIT and NB.
+    Score = b + sum(n*idf*coef) / sqrt(sum((n*idf)^2)), the same as LinearTextModel.predict."""
     on = " AND ".join(f"x.{c.strip()} = sc.{c.strip()}" for c in ids.split(","))
     xids = ", ".join(f"x.{c.strip()}" for c in ids.split(","))
     return f"""{_terms_cte(src, name + '_c', ids, text)},
-{name}_w AS (SELECT c.*, c.n * i.idf AS w FROM {name}_c c JOIN idf i USING (term)),
-{name}_t AS (SELECT {ids}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {ids})) AS weight FROM {name}_w),
-{name}_s AS (SELECT {ids}, sum(t.weight * c.coef) AS s FROM {name}_t t JOIN coef c USING (term) GROUP BY {ids}),
-{name} AS (SELECT {xids}, CASE WHEN ln(CAST(trl.np AS DOUBLE) / CAST(trl.nn AS DOUBLE)) + coalesce(sc.s, 0.0) > 0
+{name}_w AS (SELECT c.*, c.n * i.idf AS w, k.coef FROM {name}_c c JOIN idf i USING (term) JOIN coef k USING (term)),
+{name}_s AS (SELECT {ids}, sum(w * coef) AS dot, sqrt(sum(w * w)) AS nrm FROM {name}_w GROUP BY {ids}),
+{name} AS (SELECT {xids}, CASE WHEN ln(CAST(trl.np AS DOUBLE) / CAST(trl.nn AS DOUBLE))
+                 + coalesce(CASE WHEN sc.nrm > 0 THEN sc.dot / sc.nrm END, 0.0) > 0
                  THEN 'positive' ELSE 'negative' END AS p
            FROM {src} x LEFT JOIN {name}_s sc ON {on}, trl)"""
 

@@ -98,7 +98,7 @@ def _final(spark, sf):
     model = _model(spark, sf, r)
     _, _, _, st, _, _, m = _mapping(spark, sf, r)
     sa = tp.sentence_aspects(st, m).select("review_id", "pos", "sentence", "aspect")
-    return model.predict(sa, ["review_id", "pos"], "sentence", out="sentence_sentiment")
+    return model.predict(sa, ["review_id", "pos"], "sentence", out="sentence_sentiment", carry=("sentence", "aspect"))
 
 
 def q_sentence_sentiment(spark, sf):
