@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_queries
+from . import mix_queries, quality_queries, secret_queries
 
-GROUPS = [quality_queries]
+GROUPS = [quality_queries, secret_queries, mix_queries]
 
 
 def queries() -> dict:
