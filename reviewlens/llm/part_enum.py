@@ -390,3 +390,17 @@ def cluster(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_c
     per_key = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").join(smallest, "label", "left") \
         .select("key", F.coalesce("least", "rep").alias("component"))
     return nodes.join(per_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each component the row of its smallest id. Of rows that repeat an
+    id, those with equal texts stay once; rows without an id stay unless linked to one that has an id."""
+    kept = cluster(docs, join, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
+        .select(F.col("doc_id").alias("_kept")).distinct()
+    kept = stage(kept, "kept")
+    out = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    again = stage(docs.groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again"), "repeated-ids")
+    if not again.limit(1).count():
+        return out
+    mine = F.col(id_col).eqNullSafe(F.col("_again"))
+    return out.join(again, mine, "left_anti").unionByName(out.join(again, mine, "left_semi").dropDuplicates([id_col, text_col]))

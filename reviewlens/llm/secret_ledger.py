@@ -171,8 +171,7 @@ def redact(docs: DataFrame, findings: DataFrame, rules=RULES, mark: str = "[secr
     per_blob = spans_by_blob(findings, rules)
     cols = docs.columns
     d = docs.withColumn("_blob", blob_id(F.col(text_col)))
-    # the texts stay where they are unless the findings outgrow a broadcast
-    d = d.join(per_blob.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    d = d.join(per_blob.withColumnRenamed("blob", "_blob").hint("shuffle_hash"), "_blob", "left")   # texts are not sorted
     n = F.length(F.col(text_col)).cast("long")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 DIGITS = 13   # hex digits of the id's MD5 that make u: 52 bits, exact in a double
 
 
@@ -55,34 +57,43 @@ def targets(per_source: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> Da
 
 
 def mix(docs: DataFrame, weight: Column, size: Column, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix-1",
-        ranges: int = 1024, id_col: str = "doc_id", source_col: str = "source", carry=()) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, copies (how often the mix takes the document),
-    taken (words) and the ``carry`` columns, which should be narrow. Documents without words are never taken in part:
-    they have as many copies as their source has complete epochs."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("_w"), *carry)
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("_w")
-    d = d.withColumn("key", key).drop("_w")
-    # value range of the key: keys of weight 1 are exponential, so equal steps of exp(-key) hold about equal counts
-    d = d.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int"))
-    per_range = d.groupBy("source", "range").agg(F.sum("size").alias("words"))
+        ranges: int = 1024, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``docs`` with size, source_size, target, copies (how often the mix takes the document) and taken (words).
+
+    Rows in their source's part beyond complete epochs are those up to a last key, found per source; with one row per
+    source joined to the documents, texts are not shuffled. Documents without words are never in that part. Rows that
+    repeat an id share its key and come in together."""
+    mine = ["size", "_key", "_range", "source_size", "target", "copies", "taken"]
+    docs = docs.drop(*[c for c in mine if c not in (id_col, source_col)])
+    d = docs.withColumn("size", size).withColumn("_w", weight) \
+        .withColumn("_key", -F.log(uniform(F.col(id_col), seed)) / F.col("_w")).drop("_w")
+    # keys of weight 1 are exponential, so equal steps of exp(-key) hold about equal counts
+    d = d.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * ranges), F.lit(ranges - 1)).cast("int"))
+    narrow = d.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), "size", "_key", "_range")
+    per_range = stage(narrow.groupBy("source", "_range").agg(F.sum("size").alias("words")), "mix-ranges")
     per_source = per_range.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = targets(per_source, weights, max_epochs) \
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")) \
         .withColumn("part", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
-    plan = plan.withColumnRenamed("source", "p_source")
-    # at most ``ranges`` narrow rows per source
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    begins = per_range.withColumn("before", F.coalesce(before, F.lit(0))).withColumnRenamed("source", "r_source").withColumnRenamed("range", "r_range")
-    table = begins.join(plan, F.col("r_source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    x = d.join(table, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
-    whole = F.col("before") + F.col("words") <= F.col("part")
-    ends_here = ~whole & (F.col("before") < F.col("part"))
-    # the range in which the budget ends, sorted; every other row gets a partition key of its own hash
-    salt = F.when(ends_here, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int"))
-    w = Window.partitionBy("source", "range", salt).orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
-    x = x.withColumn("upto", F.col("before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # the document in which the budget ends comes in if that is closer
-    in_part = whole | (ends_here & (F.col("upto") - F.col("size") < F.col("part"))
-                       & (F.col("upto") - F.col("part") <= F.col("part") - (F.col("upto") - F.col("size"))))
-    copies = F.col("epochs") + F.when(in_part & (F.col("size") > 0), 1).otherwise(0)
-    return x.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
+    # the range in which the part ends: at most ``ranges`` narrow rows per source
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("_range"))
+    ends = per_range.withColumn("before", upto - F.col("words")).withColumn("upto", upto).alias("r") \
+        .join(plan.select(F.col("source").alias("p_source"), "part"), F.col("source").eqNullSafe(F.col("p_source"))) \
+        .where((F.col("before") <= F.col("part")) & (F.col("upto") > F.col("part"))).select("p_source", F.col("_range").alias("end_range"), "before", "part")
+    # only that range's rows are sorted
+    inside = narrow.join(ends, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("_range") == F.col("end_range")))
+    w = Window.partitionBy("source").orderBy("_key", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("end", F.col("before") + F.sum("size").over(w))
+    begin = F.col("end") - F.col("size")
+    # the document in which the part ends comes in if that is closer
+    comes = (begin < F.col("part")) & (F.col("end") - F.col("part") <= F.col("part") - begin)
+    last = inside.where(comes).groupBy("source").agg(F.max("_key").alias("last_key"))
+    plan = plan.alias("p").join(ends.select(F.col("p_source").alias("e_source"), "end_range"), F.col("source").eqNullSafe(F.col("e_source")), "left") \
+        .join(last.select(F.col("source").alias("l_source"), "last_key"), F.col("source").eqNullSafe(F.col("l_source")), "left") \
+        .select(F.col("source").alias("_source"), "source_size", "target", "epochs", "end_range", "last_key")
+    plan = stage(plan, "mix-plan")
+    x = d.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
+    in_part = F.col("end_range").isNotNull() & ((F.col("_range") < F.col("end_range"))
+                                               | ((F.col("_range") == F.col("end_range")) & (F.col("_key") <= F.col("last_key"))))
+    copies = F.col("epochs") + F.when(F.coalesce(in_part, F.lit(False)) & (F.col("size") > 0), 1).otherwise(0)
+    return x.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
