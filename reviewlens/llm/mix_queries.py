@@ -12,9 +12,10 @@ SEED = "mix-1"
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, prefix: str = "") -> DataFrame:
     ranges = max(1024, docs.count() // 50_000)   # keeps the sorted range at some ten thousand rows
-    return weighted_mix.mix(docs, weighted_mix.quality_weight(F.col("text")), weighted_mix.word_count(F.col("text")), seed=SEED, ranges=ranges)
+    return weighted_mix.mix(docs, weighted_mix.quality_weight(F.col("text")), weighted_mix.word_count(F.col("text")), seed=SEED, ranges=ranges,
+                            prefix=prefix)
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def redact(docs: DataFrame, findings: DataFrame, rules=RULES, mark: str = "[secr
     per_blob = spans_by_blob(findings, rules)
     cols = docs.columns
     d = docs.withColumn("_blob", blob_id(F.col(text_col)))
-    d = d.join(per_blob.withColumnRenamed("blob", "_blob").hint("shuffle_hash"), "_blob", "left")   # texts are not sorted
+    d = d.join(per_blob.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).hint("shuffle_hash"), "_blob", "left")   # texts are not sorted
     n = F.length(F.col(text_col)).cast("long")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -184,5 +184,5 @@ def redact(docs: DataFrame, findings: DataFrame, rules=RULES, mark: str = "[secr
     def finish(acc):
         return F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), n.cast("int")))
 
-    clean = F.aggregate("spans", zero, step, finish)
-    return d.withColumn(text_col, F.when(F.col("spans").isNotNull(), clean).otherwise(F.col(text_col))).select(*cols)
+    clean = F.aggregate("_spans", zero, step, finish)
+    return d.withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text_col))).select(*cols)

@@ -57,19 +57,21 @@ def targets(per_source: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> Da
 
 
 def mix(docs: DataFrame, weight: Column, size: Column, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix-1",
-        ranges: int = 1024, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target, copies (how often the mix takes the document) and taken (words).
+        ranges: int = 1024, id_col: str = "doc_id", source_col: str = "source", prefix: str = "") -> DataFrame:
+    """``docs`` with size, source_size, target, copies (how often the mix takes the document) and taken (words), each name
+    led by ``prefix``. Columns of ``docs`` with these names are replaced.
 
     Rows in their source's part beyond complete epochs are those up to a last key, found per source; with one row per
     source joined to the documents, texts are not shuffled. Documents without words are never in that part. Rows that
     repeat an id share its key and come in together."""
-    mine = ["size", "_key", "_range", "source_size", "target", "copies", "taken"]
-    docs = docs.drop(*[c for c in mine if c not in (id_col, source_col)])
-    d = docs.withColumn("size", size).withColumn("_w", weight) \
-        .withColumn("_key", -F.log(uniform(F.col(id_col), seed)) / F.col("_w")).drop("_w")
+    names = [prefix + c for c in ("size", "source_size", "target", "copies", "taken")]
+    out = [c for c in docs.columns if c not in names]
+    d = docs.withColumn("_mix_size", size).withColumn("_mix_w", weight) \
+        .withColumn("_mix_key", -F.log(uniform(F.col(id_col), seed)) / F.col("_mix_w")).drop("_mix_w")
     # keys of weight 1 are exponential, so equal steps of exp(-key) hold about equal counts
-    d = d.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * ranges), F.lit(ranges - 1)).cast("int"))
-    narrow = d.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), "size", "_key", "_range")
+    d = d.withColumn("_mix_range", F.least(F.floor((1 - F.exp(-F.col("_mix_key"))) * ranges), F.lit(ranges - 1)).cast("int"))
+    narrow = d.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.col("_mix_size").alias("size"),
+                      F.col("_mix_key").alias("_key"), F.col("_mix_range").alias("_range"))
     per_range = stage(narrow.groupBy("source", "_range").agg(F.sum("size").alias("words")), "mix-ranges")
     per_source = per_range.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = targets(per_source, weights, max_epochs) \
@@ -90,10 +92,10 @@ def mix(docs: DataFrame, weight: Column, size: Column, weights=(1, 2, 3), max_ep
     last = inside.where(comes).groupBy("source").agg(F.max("_key").alias("last_key"))
     plan = plan.alias("p").join(ends.select(F.col("p_source").alias("e_source"), "end_range"), F.col("source").eqNullSafe(F.col("e_source")), "left") \
         .join(last.select(F.col("source").alias("l_source"), "last_key"), F.col("source").eqNullSafe(F.col("l_source")), "left") \
-        .select(F.col("source").alias("_source"), "source_size", "target", "epochs", "end_range", "last_key")
-    plan = stage(plan, "mix-plan")
-    x = d.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
-    in_part = F.col("end_range").isNotNull() & ((F.col("_range") < F.col("end_range"))
-                                               | ((F.col("_range") == F.col("end_range")) & (F.col("_key") <= F.col("last_key"))))
-    copies = F.col("epochs") + F.when(F.coalesce(in_part, F.lit(False)) & (F.col("size") > 0), 1).otherwise(0)
-    return x.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        .select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"),
+                F.col("epochs").alias("_mix_epochs"), F.col("end_range").alias("_mix_end"), F.col("last_key").alias("_mix_last"))
+    x = d.join(stage(plan, "mix-plan"), F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    c = {k: F.col(f"_mix_{k}") for k in ("size", "key", "range", "source_size", "target", "epochs", "end", "last")}
+    in_part = c["end"].isNotNull() & ((c["range"] < c["end"]) | ((c["range"] == c["end"]) & (c["key"] <= c["last"])))
+    copies = c["epochs"] + F.when(F.coalesce(in_part, F.lit(False)) & (c["size"] > 0), 1).otherwise(0)
+    return x.select(*out, *[v.alias(n) for n, v in zip(names, (c["size"], c["source_size"], c["target"], copies, copies * c["size"]))])
