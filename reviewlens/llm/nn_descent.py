@@ -213,9 +213,10 @@ def graph(vectors: DataFrame, blocks: int, p: Params) -> tuple[DataFrame, DataFr
                 ids = np.frombuffer(own, np.int64)
                 pick = np.unique(np.concatenate([ids, np.frombuffer(other or b"", np.int64)]))
                 n = len(ids)
-                rank = scatter(np.repeat(ids, k) * 64 + np.tile(np.arange(k), n), p.seed) % np.uint64(len(pick))
-                g = pick[rank.astype(np.int64)]
-                t = np.repeat(ids, k)
+                each = min(k, len(pick))
+                rank = scatter(np.repeat(ids, each) * 64 + np.tile(np.arange(each), n), p.seed) % np.uint64(len(pick))
+                g = pick[rank.astype(np.int64)] if len(pick) > k else np.tile(pick, n)
+                t = np.repeat(ids, each)
                 g, d, f = nearest_lists(ids, t, g, np.full(len(t), 3e38, np.float32), np.ones(len(t), bool), k)
                 yield state_row(block, ids, g, d, f).to_batches()[0]
 
@@ -464,7 +465,7 @@ def nearest(vectors: DataFrame, query_every: int = 100, k: int = 10, p: Params =
     n = nodes.count()
     if n == 0:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = max(6, -(-n // p.block))
+    blocks = max(1, min(6, n // 500), -(-n // p.block))
     own = rows.where(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), "v") \
         .join(nodes.select(F.col("id").alias("node"), "v"), "v").select("query_id", "node", "v")
     own = stage(own, "ann-queries")
