@@ -1,21 +1,26 @@
 """Crawl-page extraction as one job over a table of fetched pages.
 
-Pages: (film_slug, page_num, status, html). The original fetches pages 1..max in order and stops at
-the first failed or block-less page; here the same prefix is chosen per film by an aggregate (at most
-max_pages page numbers per film), then blocks are exploded and fields extracted with column
-expressions.
+Pages: (film_slug, page_num, status, html). The original fetches pages from 1 on and stops at the first
+failed or block-less page; here the same prefix is chosen per film by aggregates over (film, page), then blocks
+are exploded and fields extracted with column expressions.
 """
 
 from __future__ import annotations
 
+import sys
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import html as hx
-from ..sources import dictionaries as d
-from .lexicon import sized_broadcast
+from .ids import running_sum
+from .text import materialize
+
+# the parser below runs in Python workers, which need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
@@ -31,19 +36,21 @@ class Selectors:
 STAND_IN = Selectors(block_tag="p", block_cls=None, body_tag=None, body_cls=None)
 
 
-def page_prefix(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int = d.MAX_PAGES_PER_FILM) -> DataFrame:
-    """H1: the pages a sequential crawl would have used: 1..max_pages, up to but not including the
-    first page that failed (status != 200, empty) or had no block, or the first missing page number.
-    Adds ``n_blocks``."""
-    p = pages.where(F.col("page_num").between(1, max_pages)).withColumn(
-        "n_blocks", F.size(hx.blocks(F.coalesce("html", F.lit("")), sel.block_tag, sel.block_cls)))
+def page_prefix(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int | None = None) -> DataFrame:
+    """H1: the pages a sequential crawl would have used: from 1 up to but not including the first page that failed
+    (status != 200, empty) or had no block, or the first missing page number; at most ``max_pages`` if given. Adds
+    ``n_blocks``."""
+    p = pages.where(F.col("page_num") >= 1)
+    if max_pages is not None:
+        p = p.where(F.col("page_num") <= max_pages)
+    p = p.withColumn("n_blocks", F.size(hx.blocks(F.coalesce("html", F.lit("")), sel.block_tag, sel.block_cls)))
     bad = (F.col("status") != 200) | F.col("html").isNull() | (F.length("html") == 0) | (F.col("n_blocks") == 0)
-    per_film = p.groupBy("film_slug").agg(
-        F.min(F.when(bad, F.col("page_num"))).alias("_first_bad"),
-        F.collect_set("page_num").alias("_seen"))   # at most max_pages values
-    first_gap = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(max_pages + 1)), lambda k: ~F.array_contains("_seen", k)))
-    stop = per_film.select("film_slug", F.least(F.coalesce("_first_bad", F.lit(max_pages + 1)), first_gap).alias("_stop"))
-    return p.join(sized_broadcast(stop), "film_slug").where(F.col("page_num") < F.col("_stop")).drop("_stop")
+    seen = materialize(p.select("film_slug", "page_num", bad.alias("bad")), "pages_seen")    # narrow; the html is read again
+    follows = seen.select("film_slug", (F.col("page_num") - 1).alias("page_num")).distinct()
+    last = seen.join(follows, ["film_slug", "page_num"], "left_anti").groupBy("film_slug").agg((F.min("page_num") + 1).alias("_gap"))
+    stop = seen.groupBy("film_slug").agg(F.min("page_num").alias("_first"), F.min(F.when(F.col("bad"), F.col("page_num"))).alias("_bad")) \
+        .join(last, "film_slug").select("film_slug", F.when(F.col("_first") > 1, F.lit(1)).otherwise(F.least("_gap", "_bad")).alias("_stop"))
+    return p.join(stop, "film_slug").where(F.col("page_num") < F.col("_stop")).drop("_stop")
 
 
 def review_blocks(pages: DataFrame, sel: Selectors = Selectors()) -> DataFrame:
@@ -61,33 +68,32 @@ def extract_fields(blocks: DataFrame, sel: Selectors = Selectors()) -> DataFrame
                          hx.date_text(b).alias("date"), hx.likes(b).alias("likes"))
 
 
-def scrape(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int = d.MAX_PAGES_PER_FILM) -> DataFrame:
+def scrape(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int | None = None) -> DataFrame:
     """H1-H7: scraped reviews (film_slug, page_num, block_pos, rating, review_text, date, likes);
     blocks with empty text are dropped."""
     f = extract_fields(review_blocks(page_prefix(pages, sel, max_pages), sel), sel)
     return f.where(F.length("review_text") > 0)
 
 
-def crawl_report(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int = d.MAX_PAGES_PER_FILM) -> DataFrame:
+def crawl_report(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int | None = None) -> DataFrame:
     """H9: per film and page: blocks found, reviews kept, running total of kept reviews per film."""
-    from pyspark.sql import Window
-
     kept = page_prefix(pages, sel, max_pages)
-    f = extract_fields(review_blocks(kept, sel), sel).where(F.length("review_text") > 0)
-    per_page = f.groupBy("film_slug", "page_num").agg(F.count(F.lit(1)).alias("n_reviews"))
-    x = kept.select("film_slug", "page_num", "n_blocks").join(per_page, ["film_slug", "page_num"], "left") \
-        .na.fill(0, ["n_reviews"])
-    w = Window.partitionBy("film_slug").orderBy("page_num")   # at most max_pages rows per film
-    return x.withColumn("running_reviews", F.sum("n_reviews").over(w))
+    # counted inside the row: no block leaves its page
+    texts = F.transform(hx.blocks(F.col("html"), sel.block_tag, sel.block_cls), lambda b: hx.review_text(b, sel.body_tag, sel.body_cls, sep=sel.inline_separator))
+    x = kept.select("film_slug", "page_num", "n_blocks", F.size(F.filter(texts, lambda t: F.length(t) > 0)).cast("long").alias("n_reviews"))
+    return running_sum(materialize(x, "crawl_report"), "film_slug", "page_num", F.col("n_reviews"), "running_reviews")
 
 
 def write_scraped(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """K1: fixed column order; an empty result still writes an empty table (and returns 0)."""
-    cols = ["film_slug", "rating", "review_text", "date", "likes"]
-    out = df.select(*cols)
-    w = out.write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
-    return out.sparkSession.read.parquet(path).count() if fmt == "parquet" else -1
+    """K1: fixed column order; returns the rows written, with a warning when there are none."""
+    out = df.select("film_slug", "rating", "review_text", "date", "likes")
+    seen = Observation("scraped")
+    w = out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    (w.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else w.parquet(path))
+    n = int(seen.get["n"])
+    if not n:
+        warnings.warn(f"no reviews: an empty table was written to {path}", stacklevel=2)
+    return n
 
 
 # ---------------------------------------------------------------------------------------------

@@ -107,3 +107,18 @@ def largest_remainder(counts: dict, n_draws: int) -> dict:
     for k in order[:need]:
         floors[k] += 1
     return floors
+
+
+def running_sum(df: DataFrame, group: str, order: str, value, out: str, span: int = 100_000) -> DataFrame:
+    """Adds the running sum of ``value`` within ``group`` in the order of the integer column ``order`` (distinct within a
+    group). A group is cut into stretches of ``span`` order values: each is summed on its own and gets the
+    total of the stretches before it, so a large group is not one task."""
+    x = df.withColumn("_value", value).withColumn("_part", F.floor(F.col(order) / span))
+    totals = x.groupBy(group, "_part").agg(F.sum("_value").alias("_total"))
+    # one narrow row per stretch
+    before = F.coalesce(F.sum("_total").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col(group).alias("_group"), F.col("_part").alias("_at"), before.alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy(group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_own", own)
+    return x.join(totals, x[group].eqNullSafe(totals["_group"]) & (x["_part"] == totals["_at"])) \
+        .withColumn(out, F.col("_own") + F.col("_before")).drop("_value", "_part", "_group", "_at", "_before", "_own")

@@ -18,8 +18,7 @@ def _pages(spark, sf):
 
 
 def _fields(spark, sf):
-    kept = cr.page_prefix(_pages(spark, sf), SEL)
-    return cr.extract_fields(cr.review_blocks(kept, SEL), SEL)
+    return cr.extract_fields(cr.review_blocks(_pages(spark, sf), SEL), SEL)      # every page
 
 
 def q_page_prefix(spark, sf):
@@ -27,7 +26,7 @@ def q_page_prefix(spark, sf):
 
 
 def q_review_blocks(spark, sf):
-    b = cr.review_blocks(cr.page_prefix(_pages(spark, sf), SEL), SEL)
+    b = cr.review_blocks(_pages(spark, sf), SEL)
     return b.select("film_slug", "page_num", "block_pos", F.length("block").alias("block_chars"))
 
 
@@ -52,8 +51,7 @@ def q_crawl_report(spark, sf):
 
 
 def q_html_parse(spark, sf):
-    kept = cr.page_prefix(_pages(spark, sf), SEL)
-    return cr.parse_pages_python(kept, SEL)
+    return cr.parse_pages_python(_pages(spark, sf), SEL)
 
 
 QUERIES = {
@@ -95,19 +93,15 @@ TIME_DATE = r"(?s)<time\b[^>]*>(.*?)</time>"
 LIKE = f"(?s)<(p|span)\\b[^>]*{_cls('like-link-target')}[^>]*>(.*?)</(?:p|span)>"
 RATING_CLS = '<span\\b[^>]*class="((?:[^"]*\\s)?rating(?:\\s[^"]*)?)"'
 
-CRAWL = f"""cp0 AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS film_slug,
-           coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INTEGER), 1) AS page_num, html FROM pages),
-cp AS (SELECT film_slug, page_num, arg_min(html, page_id) AS html FROM cp0 GROUP BY ALL),
+CRAWL = f"""cp0 AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS film_slug, html FROM pages),
+cp AS (SELECT film_slug, CAST(row_number() OVER (PARTITION BY film_slug ORDER BY page_id) AS INTEGER) AS page_num, html FROM cp0),
 cps AS (SELECT film_slug, page_num, CASE WHEN length(coalesce(html, '')) > 0 THEN 200 ELSE 404 END AS status, html FROM cp),
-pp AS (SELECT *, CAST(len(regexp_extract_all(coalesce(html, ''), '{P_RE}', 1)) AS INTEGER) AS n_blocks
-       FROM cps WHERE page_num BETWEEN 1 AND {d.MAX_PAGES_PER_FILM}),
-pf AS (SELECT film_slug, min(page_num) FILTER (WHERE status <> 200 OR html IS NULL OR length(html) = 0 OR n_blocks = 0) AS first_bad,
-              list(DISTINCT page_num) AS seen FROM pp GROUP BY 1),
-pstop AS (SELECT film_slug, least(coalesce(first_bad, {d.MAX_PAGES_PER_FILM + 1}),
-            list_min(list_filter(range(1, {d.MAX_PAGES_PER_FILM + 2}), lambda k: NOT list_contains(seen, k)))) AS stop FROM pf),
+pp AS (SELECT *, CAST(len(regexp_extract_all(coalesce(html, ''), '{P_RE}', 1)) AS INTEGER) AS n_blocks FROM cps),
+pstop AS (SELECT film_slug, coalesce(min(page_num) FILTER (WHERE status <> 200 OR html IS NULL OR length(html) = 0 OR n_blocks = 0), max(page_num) + 1) AS stop
+          FROM pp GROUP BY 1),
 kept AS (SELECT pp.* FROM pp JOIN pstop USING (film_slug) WHERE page_num < stop),
 blk AS (SELECT k.film_slug, k.page_num, CAST(u.i - 1 AS INTEGER) AS block_pos, u.b AS block
-        FROM kept k, unnest(regexp_extract_all(k.html, '{P_RE}', 1)) WITH ORDINALITY AS u(b, i)),
+        FROM pp k, unnest(regexp_extract_all(k.html, '{P_RE}', 1)) WITH ORDINALITY AS u(b, i)),
 fields AS (SELECT film_slug, page_num, block_pos,
    CASE WHEN length(regexp_extract(regexp_extract(block, '{RATING_CLS}', 1), '(?:^|\\s)rated-([0-9]+)', 1)) > 0
         THEN TRY_CAST(regexp_extract(regexp_extract(block, '{RATING_CLS}', 1), '(?:^|\\s)rated-([0-9]+)', 1) AS INTEGER) / CAST(2.0 AS DOUBLE) END AS rating,
@@ -125,7 +119,7 @@ ORACLE = {
     "review_text_extract": f"WITH {CRAWL} SELECT film_slug, page_num, block_pos, review_text FROM fields",
     "date_extract": f"WITH {CRAWL} SELECT film_slug, page_num, block_pos, date FROM fields",
     "likes_extract": f"WITH {CRAWL} SELECT film_slug, page_num, block_pos, likes FROM fields",
-    "film_union": f"WITH {CRAWL} SELECT film_slug, page_num, block_pos, review_text FROM fields WHERE length(review_text) > 0",
+    "film_union": f"WITH {CRAWL} SELECT film_slug, page_num, block_pos, review_text FROM fields JOIN kept USING (film_slug, page_num) WHERE length(review_text) > 0",
     "crawl_report": f"""WITH {CRAWL}, pr AS (SELECT film_slug, page_num, count(*) AS n_reviews FROM fields WHERE length(review_text) > 0 GROUP BY ALL),
         x AS (SELECT k.film_slug, k.page_num, k.n_blocks, coalesce(pr.n_reviews, 0) AS n_reviews FROM kept k LEFT JOIN pr USING (film_slug, page_num))
         SELECT film_slug, page_num, n_blocks, n_reviews,

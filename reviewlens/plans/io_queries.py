@@ -44,7 +44,7 @@ def _stream_sentences(spark, sf):
     model = tq._model(spark, sf)
     src = scratch_path(spark, "requests")
     tables.table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text")) \
-        .repartition(4).write.json(src)
+        .write.json(src)
     sink, ck = scratch_path(spark, "stream_sentences"), scratch_path(spark, "ck_score")
     q = sm.score_stream(spark, src, sink, ck, model)
     q.awaitTermination()

@@ -54,15 +54,14 @@ def raw_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5 stand-in: the URL's host is the film slug, ``page=N`` in the URL the page number (1 if
-    absent), status 200 when the html is non-empty, else 404. Duplicate (slug, page) rows keep the lowest page_id."""
-    pages = table(spark, sf_dir, "pages")
-    slug = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    page = F.coalesce(F.regexp_extract("url", r"[?&]page=([0-9]+)", 1).try_cast("int"), F.lit(1))
-    # One fetch per (film, page): the lowest page_id wins.
-    p = pages.select("page_id", slug.alias("film_slug"), page.alias("page_num"), "html") \
-        .groupBy("film_slug", "page_num").agg(F.min_by("html", "page_id").alias("html"))
-    return p.select("film_slug", "page_num",
+    """S5 stand-in: the URL's host is the film slug, and a film's pages are numbered from 1 by page_id, so every page
+    is kept. Status 200 when the html is non-empty, else 404."""
+    from ..operators.ids import running_sum
+
+    pages = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("film_slug"), "page_id", "html")
+    p = running_sum(pages, "film_slug", "page_id", F.lit(1), "page_num")
+    return p.select("film_slug", F.col("page_num").cast("int").alias("page_num"),
                     F.when(F.length(F.coalesce("html", F.lit(""))) > 0, F.lit(200)).otherwise(F.lit(404)).alias("status"),
                     "html")
 

@@ -16,7 +16,9 @@ def test_page_prefix(spark):
     assert {p for s, p in kept if s == "a"} == {1, 2}
     assert not any(s == "b" for s, _ in kept)
     assert {p for s, p in kept if s == "c"} == {1}
-    assert {p for s, p in kept if s == "d"} == set(range(1, 41))
+    assert {p for s, p in kept if s == "d"} == set(range(1, 42))       # no bound unless asked for
+    bounded = {r["page_num"] for r in cr.page_prefix(pages, max_pages=40).where("film_slug = 'd'").collect()}
+    assert bounded == set(range(1, 41))
     scraped = cr.scrape(pages).where("film_slug = 'a'").collect()
     assert len(scraped) == 2                                   # page 2's empty review dropped
 
@@ -37,3 +39,36 @@ def test_fields(spark):
     py = sorted(cr.parse_pages_python(pages).collect(), key=lambda r: r["block_pos"])
     assert [(r["rating"], r["review_text"], r["date"], r["likes"]) for r in py] == \
         [(r["rating"], r["review_text"], r["date"], r["likes"]) for r in f]
+
+
+def test_every_page_is_kept(spark):
+    from reviewlens.sources import tables
+
+    sf = "/root/testdata/sf0.01"
+    p = tables.crawl_pages(spark, sf)
+    n = spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert p.select("film_slug", "page_num").distinct().count() == n == 250
+
+
+def test_running_sum_cuts_large_groups(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlens.operators.ids import running_sum
+
+    rows = [("a", i * 3, i % 5) for i in range(200)] + [(None, 7, 2), ("b", 0, 9)]
+    got = running_sum(spark.createDataFrame(rows, "g string, o long, v long"), "g", "o", F.col("v"), "s", span=50).collect()
+    total = {}
+    for r in sorted(got, key=lambda r: (r["g"] or "", r["o"])):
+        total[r["g"]] = total.get(r["g"], 0) + r["v"]
+        assert r["s"] == total[r["g"]]
+    assert len(got) == 202
+
+
+def test_write_scraped(spark, tmp_path):
+    import pytest
+
+    row = [("s", 1.0, 'a "quoted" text', "d", 1)]
+    df = spark.createDataFrame(row, "film_slug string, rating double, review_text string, date string, likes int")
+    assert cr.write_scraped(df, str(tmp_path / "csv"), "csv") == 1
+    with pytest.warns(UserWarning):
+        assert cr.write_scraped(df.where("1 = 0"), str(tmp_path / "none")) == 0
