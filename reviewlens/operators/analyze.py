@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aspects as fa
@@ -25,24 +25,37 @@ class LinearTextModel:
     intercept: float
 
     def predict(self, df: DataFrame, id_col, text_col: str, out: str = "sentiment", carry=()) -> DataFrame:
-        """(ids, *carry, out) for every row of ``df`` in one pass: narrow term rows probe a broadcast
-        (term, idf, coef) table (at most max_features rows); per document the score is
-        b + sum(n*idf*coef) / sqrt(sum((n*idf)^2)) (TF-IDF with L2 norm, then the linear model).
-        Documents without a vocabulary term score b. ``carry`` names narrow columns kept per row."""
-        ids = [id_col] if isinstance(id_col, str) else list(id_col)
-        keys = [*ids, *carry]
-        table = F.broadcast(self.idf.select("term", "idf").join(self.coef, "term"))
-        # A null sentinel term keeps every document; other terms survive only if in the vocabulary.
-        t = fe.with_terms(df.select(*keys, text_col), text_col, "_terms") \
-            .select(*keys, F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "_terms")).alias("term"))
-        t = t.join(table, "term", "left").where(F.col("idf").isNotNull() | F.col("term").isNull())
-        per_term = t.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"), F.first("idf").alias("idf"),
-                                                 F.first("coef").alias("coef"))
-        w = F.coalesce(F.col("n") * F.col("idf"), F.lit(0.0))
-        doc = per_term.groupBy(*keys).agg(F.sum(w * F.coalesce(F.col("coef"), F.lit(0.0))).alias("_dot"),
-                                          F.sqrt(F.sum(w * w)).alias("_norm"))
-        score = F.lit(self.intercept) + F.when(F.col("_norm") > 0, F.col("_dot") / F.col("_norm")).otherwise(F.lit(0.0))
-        return doc.select(*keys, F.when(score > 0, F.lit("positive")).otherwise(F.lit("negative")).alias(out))
+        """(ids, *carry, out) for every row of ``df``, scored inside its row: nothing is shuffled, so ``carry`` may hold
+        texts. The score is b + sum(n*idf*coef) / sqrt(sum((n*idf)^2)) (TF-IDF with L2 norm, then the linear model);
+        texts without a vocabulary term score b. The model table (at most max_features rows) goes to every task."""
+        import pyarrow as pa
+
+        keys = [*([id_col] if isinstance(id_col, str) else id_col), *carry]
+        rows = self.idf.select("term", "idf").join(self.coef, "term").select("term", "idf", F.coalesce("coef", F.lit(0.0))).collect()
+        sc = df.sparkSession.sparkContext
+        table, intercept = sc.broadcast({t: (float(i), float(c)) for t, i, c in rows}), float(self.intercept)
+        x = fe.with_terms(df.select(*keys, text_col), text_col, "_terms").select(*keys, "_terms")
+
+        def run(batches):
+            known = table.value
+
+            def positive(terms):
+                count = {}
+                for t in terms or ():
+                    if t in known:
+                        count[t] = count.get(t, 0) + 1
+                dot = norm = 0.0
+                for t, n in count.items():
+                    idf, coef = known[t]
+                    dot += n * idf * coef
+                    norm += (n * idf) ** 2
+                return intercept + (dot / norm ** 0.5 if norm else 0.0) > 0
+
+            for b in batches:
+                labels = ["positive" if positive(t) else "negative" for t in b.column(b.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(labels, pa.string())], names=[*b.schema.names[:-1], out])
+
+        return x.mapInArrow(run, x.drop("_terms").schema.add(out, "string"))
 
 
 def analyze_reviews(requests: DataFrame, model: LinearTextModel, id_col: str = "review_id",
@@ -78,12 +91,12 @@ def breakdown_flat(accepted: DataFrame, id_col: str = "review_id") -> DataFrame:
 
 def aspects_summary(final: DataFrame, aspect_col: str = "aspect", sentiment_col: str = "sentence_sentiment",
                     values=("negative", "positive")) -> DataFrame:
-    """Counts per aspect x sentiment (zeros filled) and the total row count of the table (rows
-    with a null aspect count in the total but in no cell)."""
-    total = final.count()   # a scalar
-    cells = final.where(F.col(aspect_col).isNotNull()).groupBy(aspect_col).agg(
-        *[F.count_if(F.col(sentiment_col) == v).alias(v) for v in values])
-    return cells.withColumn("total_sentences", F.lit(total).cast("bigint"))
+    """Counts per aspect x sentiment (zeros filled) and the total row count of the table (rows with a null aspect
+    count in the total but in no cell), from one aggregate with a row per aspect."""
+    per = final.groupBy(aspect_col).agg(*[F.count_if(F.col(sentiment_col) == v).alias(v) for v in values],
+                                        F.count(F.lit(1)).alias("_rows"))
+    total = F.sum("_rows").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return per.withColumn("total_sentences", total).where(F.col(aspect_col).isNotNull()).drop("_rows")
 
 
 def review_aspect_counts(sent: DataFrame, id_col: str = "review_id") -> DataFrame:
