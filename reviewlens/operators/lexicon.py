@@ -28,7 +28,9 @@ def seed_lexicon(spark) -> DataFrame:
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a lookup table only after checking its row count; large tables join by shuffle."""
+    """Broadcast a lookup table only after checking its row count; large tables join by shuffle. The table is
+    checkpointed first, so the count and the join read it and do not compute it again."""
+    df = df.checkpoint(eager=True)
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
@@ -54,7 +56,7 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col="review_id", text_c
         .groupBy("_t").agg(F.max("_v").alias("_v"))
     # The lexicon is a small lookup table probed four times: cut its lineage once (reliable
     # checkpoint in the shared checkpoint folder) so the probes do not re-plan its source.
-    lex = sized_broadcast(lex.checkpoint(eager=True))
+    lex = sized_broadcast(lex)
     base = df.select(*ids, *carry, tx.lexicon_words(text_col).alias("_w"),
                      tx.count_char(text_col, "!").alias("_ex"), tx.count_char(text_col, "?").alias("_qm"))
     n_caps = F.size(F.filter("_w", tx.is_upper))

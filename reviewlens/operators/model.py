@@ -6,6 +6,9 @@ shipped inside the ML stages.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -16,6 +19,9 @@ from pyspark.sql import functions as F
 from ..sources import dictionaries as d
 from . import features as fe
 
+# model classes given to Python workers, which need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def feature_pipeline(idf: DataFrame, text_col: str = "review_text") -> PipelineModel:
     """Fitted TF-IDF + L2 pipeline from the vocabulary/idf table (term, term_index, idf)."""
@@ -86,6 +92,17 @@ def ml_predict(model, featurized: DataFrame) -> DataFrame:
     return out.withColumn("p", F.when(F.col("prediction") == 1.0, F.lit("positive")).otherwise(F.lit("negative")))
 
 
+def scoring_pipeline(idf: DataFrame, model) -> PipelineModel:
+    """Terms to label index in one pipeline that can be saved and loaded."""
+    return PipelineModel(stages=[*feature_pipeline(idf).stages, model])
+
+
+def score_texts(df: DataFrame, pipe: PipelineModel, text_col: str, out: str = "p") -> DataFrame:
+    """M9 with a loaded pipeline: the rows of ``df`` with a label, no shuffle."""
+    x = pipe.transform(fe.with_terms(df, text_col, "_terms"))
+    return x.select(*df.columns, F.when(F.col("prediction") == 1.0, F.lit("positive")).otherwise(F.lit("negative")).alias(out))
+
+
 def score_with_model(df: DataFrame, text_col: str, model_factory, out_col: str = "p", id_col: str = "review_id") -> DataFrame:
     """Score texts with a user-supplied Python model. ``model_factory()`` runs once per task
     (Arrow batches through ``mapInPandas``) and returns an object with ``predict(list[str]) -> list[str]``."""

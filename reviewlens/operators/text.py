@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.dictionaries import (LABEL2ID, MIN_REVIEW_CHARS, MIN_SENTENCE_CHARS, SAMPLE_SEED,
-                                    SAMPLE_SIZE)
+from ..sources.dictionaries import (LABEL2ID, MIN_REVIEW_CHARS, MIN_SENTENCE_CHARS, SAMPLE_SEED)
 from ..session import scratch_path
 from .ids import dense_id, ensure_parallelism, hash_first_k
 
@@ -72,9 +71,9 @@ def sentence_table(reviews: DataFrame, min_len: int = MIN_SENTENCE_CHARS) -> Dat
             .select("review_id", "pos", "sentence", F.col("sentiment").alias("review_sentiment")))
 
 
-def exact_sample(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED,
+def exact_sample(df: DataFrame, n: int, seed: int = SAMPLE_SEED,
                  id_cols: tuple[str, ...] = ("review_id", "pos")) -> DataFrame:
-    """Exactly n rows in seeded md5 order, only when the table has more than n rows."""
+    """Exactly n rows in seeded md5 order (the whole table if it has no more)."""
     total = df.count()
     if total <= n:
         return df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
@@ -9,8 +10,9 @@ from ..operators import lexicon as lx
 from ..operators import metrics as mt
 from ..operators import model as md
 from ..operators import text as tt
+from ..session import scratch_path
 from ..sources import dictionaries as d
-from ..sources import tables
+from ..sources import io, tables
 from . import common
 from . import sqlparts as S
 
@@ -86,6 +88,15 @@ def q_lr_predict_ml(spark, sf):
     return md.ml_predict(model, test).select("review_id", F.col("sentiment").alias("y"), "p")
 
 
+def q_lr_saved_score(spark, sf):
+    """Fit, save the pipeline, load it and score every sentence with the loaded one."""
+    _, idf, _, model = _ml(spark, sf)
+    path = scratch_path(spark, "lr_model")
+    io.save_model(md.scoring_pipeline(idf, model), path)
+    s = common.sentences(spark, sf)
+    return md.score_texts(s.select("review_id", "pos", "sentence"), PipelineModel.load(path), "sentence").select("review_id", "pos", "p")
+
+
 def _nb_predictions(spark, sf):
     r, sp, counts, train_counts, vocab, idf = _fitted(spark, sf)
     train_labels = sp.where(F.col("split") == "train").select("review_id", "sentiment")
@@ -126,7 +137,7 @@ def q_macro_f1(spark, sf):
 
 def q_logit_argmax(spark, sf):
     e = tables.table(spark, sf, "embeddings")
-    return e.select("vec_id", mt.logit_argmax(F.slice("embedding", 1, 2)).alias("pred"), "label")
+    return e.select("vec_id", mt.logit_argmax("embedding").alias("pred"), "label")
 
 
 def q_encode_fixed(spark, sf):
@@ -170,6 +181,7 @@ QUERIES = {
     "class_weights": q_class_weights,
     "lr_fit": q_lr_fit,
     "lr_predict_ml": q_lr_predict_ml,
+    "lr_saved_score": q_lr_saved_score,
     "lr_predict": q_lr_predict,
     "accuracy": q_accuracy,
     "classification_report": q_classification_report,
@@ -290,7 +302,7 @@ ORACLE = {
         SELECT g.model_id, g.y, count(p.p) FILTER (WHERE p.p = 'negative') AS negative, count(p.p) FILTER (WHERE p.p = 'positive') AS positive
         FROM grid g LEFT JOIN pred p ON p.model_id = g.model_id AND p.y = g.y GROUP BY g.model_id, g.y""",
     "macro_f1": f"WITH {PRED}, {PER_CLASS} SELECT model_id, round(avg(f1), 6) AS f1_macro FROM pcf GROUP BY model_id",
-    "logit_argmax": """SELECT vec_id, CAST(list_position(list_slice(embedding, 1, 2), list_max(list_slice(embedding, 1, 2))) - 1 AS INTEGER) AS pred, label
+    "logit_argmax": """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred, label
         FROM embeddings""",
     "encode_fixed": f"""WITH {S.BASE}, {ENCODE}
         SELECT r.review_id,

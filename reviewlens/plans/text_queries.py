@@ -47,8 +47,11 @@ def q_sentence_explode(spark, sf):
     return common.sentences(spark, sf)
 
 
+SAMPLE_ROWS = 5000     # the sampling operator's argument, below the sentences of any test table
+
+
 def q_exact_sample(spark, sf):
-    return tt.exact_sample(common.sentences(spark, sf).select("review_id", "pos", "sentence"))
+    return tt.exact_sample(common.sentences(spark, sf).select("review_id", "pos", "sentence"), SAMPLE_ROWS)
 
 
 def _labels(spark, sf):
@@ -82,11 +85,16 @@ def q_keyword_aspect(spark, sf):
     return s.select("review_id", "pos", fa.keyword_aspect("sentence").alias("aspect"))
 
 
+CORPUS_KEYWORDS = [("German", [" der ", " und ", " die "]), ("French", [" le ", " que ", " les "]),
+                   ("Spanish", [" el ", " los ", " del "]), ("English", [" the ", " and ", " of "])]
+
+
 def q_aspect_lexicon_counts(spark, sf):
-    """Flagship slice: sentence keyword aspect x sentence lexicon label counts, wide."""
+    """Flagship slice: sentence keyword aspect x sentence lexicon label counts, wide. The keywords are ones that the
+    test texts hold: common words of their languages, as aspects named by language."""
     r = common.reviews(spark, sf)
     lex = common.lexicon(spark, sf, r)
-    s = tt.sentence_table(r).withColumn("aspect", fa.keyword_aspect("sentence"))
+    s = tt.sentence_table(r).withColumn("aspect", fa.keyword_aspect("sentence", CORPUS_KEYWORDS))
     scored = lx.lexicon_scores(s, lex, id_col=["review_id", "pos"], text_col="sentence", carry=("aspect",))
     lab = scored.withColumn("label", lx.compound_label("compound"))
     return lab.groupBy("aspect").agg(
@@ -131,10 +139,10 @@ ORACLE = {
           THEN 'no_sentences' END AS reject_reason FROM t""",
     "sentence_explode": f"WITH {_B}, {_SENT} SELECT review_id, pos, sentence, review_sentiment FROM sentences",
     "exact_sample": f"""WITH {_B}, {_SENT} SELECT review_id, pos, sentence FROM sentences
-        WHERE (SELECT count(*) FROM sentences) <= {d.SAMPLE_SIZE} OR (review_id, pos) IN (
+        WHERE (SELECT count(*) FROM sentences) <= {SAMPLE_ROWS} OR (review_id, pos) IN (
           SELECT (review_id, pos) FROM sentences
           ORDER BY md5(CAST(review_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':{d.SAMPLE_SEED}'), review_id, pos
-          LIMIT {d.SAMPLE_SIZE})""",
+          LIMIT {SAMPLE_ROWS})""",
     "lexicon_score": f"WITH {_B}, {_LEX}, {_SCORES} SELECT review_id, compound FROM scores",
     "lexicon_label": f"WITH {_B}, {_LEX}, {_SCORES} SELECT review_id, {S.compound_label('compound')} AS vader_label FROM scores",
     "mismatch_flag": f"""WITH {_B}, {_LEX}, {_SCORES} SELECT review_id, sentiment, {S.compound_label('compound')} AS vader_label,
@@ -144,7 +152,7 @@ ORACLE = {
     "label_distribution": f"WITH {_B} SELECT sentiment, count(*) AS n FROM reviews WHERE sentiment IS NOT NULL GROUP BY sentiment",
     "keyword_aspect": f"WITH {_B}, {_SENT} SELECT review_id, pos, {S.keyword_aspect('sentence')} AS aspect FROM sentences",
     "aspect_lexicon_counts": f"""WITH {_B}, {_SENT}, {_LEX},
-        sa AS (SELECT review_id, pos, sentence, {S.keyword_aspect('sentence')} AS aspect FROM sentences),
+        sa AS (SELECT review_id, pos, sentence, {S.keyword_aspect('sentence', CORPUS_KEYWORDS)} AS aspect FROM sentences),
         {S.lexicon_scores_cte('sa', 'review_id, pos', 'sentence', name='ss', carry='aspect')}
         SELECT aspect, count(*) FILTER (WHERE lbl = 'negative') AS negative,
                count(*) FILTER (WHERE lbl = 'neutral') AS neutral,
