@@ -91,18 +91,17 @@ class Points:
     """Bands of set sizes: a set links only within its band and the next ones. Point p joins bands p and p + 1."""
 
     def __init__(self, join: Join):
-        self.join, self.low = join, [1]
+        low = [1]
+        while low[-1] < 1 << 40:      # more than any set's size
+            low.append(low[-1] * join.of // join.least + 1)
+        self.join, self.low = join, np.array(low, np.int64)
 
     def band(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self.low.append(self.low[-1] * self.join.of // self.join.least + 1)
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
     def shape(self, p: int) -> tuple[int, int]:
         """(partitions, empty ones allowed)"""
-        self.band(self.low[-1])
-        top = self.low[p + 1] - 1
-        j = self.join
+        top, j = int(self.low[p + 1]) - 1, self.join
         k = (j.of - j.least) * (top + top * j.of // j.least) // (j.of + j.least)
         m = -(-(k + 1) // 10) + 1 if k else 0
         return k + 1 + m, m
