@@ -18,12 +18,20 @@ SENTENCE_SINK_SCHEMA = "review_id BIGINT, pos INT, sentence STRING, aspect STRIN
 
 def score_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                  model: an.LinearTextModel, schema: str = "review_id BIGINT, review_text STRING",
-                 available_now: bool = True):
-    """JSON-lines requests arriving in ``source_dir`` -> sentence rows (aspect, sentiment)."""
+                 available_now: bool = True, responses_dir: str | None = None, rejects_dir: str | None = None):
+    """JSON-lines requests arriving in ``source_dir`` -> sentence rows (aspect, sentiment). ``responses_dir`` also
+    gets whole responses (id, overall label, breakdown), ``rejects_dir`` the refused requests with their reason."""
     src = spark.readStream.schema(schema).json(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int):
-        _, _, sent = an.analyze_reviews(batch, model)
+        accepted, rejected, sent = an.analyze_reviews(batch, model)
+        if rejects_dir:
+            rejected.write.mode("overwrite").parquet(f"{rejects_dir}/batch_id={batch_id}")
+        if responses_dir:
+            path = f"{responses_dir}/batch_id={batch_id}"
+            accepted.write.mode("overwrite").parquet(path)
+            # the sentences of the responses, not scored again
+            sent = an.breakdown_flat(batch.sparkSession.read.schema(accepted.schema).parquet(path))
         (sent.select("review_id", "pos", "sentence", "aspect", "sentiment")
          .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
 

@@ -43,10 +43,15 @@ def test_stream_equals_batch(spark):
     coef, b = md.linear_weights(counts, df.select("review_id", "sentiment"), vocab)
     model = an.LinearTextModel(idf, coef, b)
     src, sink = scratch_path(spark, "t_src"), scratch_path(spark, "t_sink")
-    df.select("review_id", "review_text").repartition(3).write.json(src)
-    sm.score_stream(spark, src, sink, scratch_path(spark, "t_ck"), model).awaitTermination()
+    df = df.select("review_id", "review_text").union(spark.createDataFrame([(9001, "  "), (9002, None)], "review_id long, review_text string"))
+    df.repartition(3).write.json(src)
+    responses, rejects = scratch_path(spark, "t_responses"), scratch_path(spark, "t_rejects")
+    sm.score_stream(spark, src, sink, scratch_path(spark, "t_ck"), model, responses_dir=responses, rejects_dir=rejects).awaitTermination()
     streamed = spark.read.schema(sm.SENTENCE_SINK_SCHEMA).parquet(sink).select("review_id", "pos", "aspect", "sentiment")
-    _, _, batch = an.analyze_reviews(df.select("review_id", "review_text"), model)
+    accepted, rejected, batch = an.analyze_reviews(df, model)
+    overall = lambda d: sorted(map(tuple, d.select("review_id", "overall_sentiment").collect()))
+    assert overall(spark.read.parquet(responses)) == overall(accepted)
+    assert {r["review_id"] for r in spark.read.parquet(rejects).collect()} == {r["review_id"] for r in rejected.collect()} == {9001, 9002}
     batch = batch.select("review_id", "pos", "aspect", "sentiment")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
     out = scratch_path(spark, "t_counts")
