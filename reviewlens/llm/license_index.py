@@ -106,16 +106,14 @@ def hits(docs: DataFrame, postings: list[tuple], text_col: str = "text", templat
     d = docs.select(text_key(F.col(text_col)).alias("key"), normalized(F.col(text_col)).alias("norm"))
     padded = F.concat(F.lit(" "), norm, F.lit(" "))
     rare_of = {i: sorted({w for w, k, _, idf in postings if k == i and idf is not None}) for i in range(len(templates))}
-    likely = F.lit(False)
-    for i, t in enumerate(templates):
-        for p in t.phrases:
-            likely = likely | padded.contains(f" {p} ")
-    d = d.where(likely).withColumn("words", F.split("norm", " "))
+    phrases = sorted({p for t in templates for p in t.phrases})
+    d = d.where(padded.rlike(f" (?:{'|'.join(phrases)}) "))    # one expression: the text is normalized once
+    d = d.withColumn("words", F.split("norm", " "))
     rare = F.array(*[F.lit(w) for w in sorted({w for v in rare_of.values() for w in v})])
     place = lambda token, i: F.struct(token.alias("token"), i.alias("place"))
     of_words = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(rare, w), place(w, i))), lambda x: x.isNotNull())
     parts = [of_words]
-    for phrase in sorted({p for t in templates for p in t.phrases}):
+    for phrase in phrases:
         k = phrase.split()
         lit = F.array(*[F.lit(w) for w in k])
         at = F.filter(F.transform("words", lambda w, i: F.when(
