@@ -9,7 +9,9 @@ pieces of each length, and the number names pattern, sequence and offset.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -20,6 +22,10 @@ from .common import ship_by_value, stage
 
 ship_by_value(__name__)
 
+MARKS = ".,;:!?"
+ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES_MEET = re.compile(r"\s\s|^\s|\s\Z")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,32 +39,40 @@ class WordIds(dict):
     A byte-level BPE splits a text into words before merging. A single space between two characters that are not white space
     always begins such a word, so a text cut there has the same ids piece by piece."""
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, most: int = 800_000):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words) -> None:
+        """Letters with one mark behind them are two words to the tokenizer: the letters are learned, the mark is added."""
         if len(self) > self.most:
             self.clear()
         new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
+        marked = [w for w in new if w[-1] in MARKS and w[:-1].isalpha()]
+        plain = {w for w in new if w[-1] not in MARKS or not w[:-1].isalpha()}
+        plain.update(w for w in (x[:-1] for x in marked) if w not in self)
+        self.update(zip(plain, self.ids_of([" " + w for w in plain])))
+        if marked:
+            mark = dict(zip(MARKS, self.ids_of(list(MARKS))))
+            self.update((w, self[w[:-1]] + mark[w[-1]]) for w in marked)
 
-    def text_ids(self, text: str, words: list[str] | None) -> bytes:
-        if words is None:
-            return self.encode(text)
-        return self.encode(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+    def texts_ids(self, texts: list[str]) -> list[bytes]:
+        split = [space_led(t) for t in texts]
+        self.learn(set().union(*(w[1:] for w in split if w)))
+        heads = self.ids_of([w[0] if w else t for t, w in zip(texts, split)])
+        return [h + b"".join(map(self.__getitem__, w[1:])) if w else h for h, w in zip(heads, split)]
 
 
 def space_led(text: str) -> list[str] | None:
-    """The text cut at its spaces, or None if some space does not stand between two other characters."""
+    """The text cut at its spaces, or None if some white space stands next to another or at an end."""
+    if "\n " in text or " \n" in text or any(c in text for c in ASCII_SPACES) or not text.isascii() and any(c in text for c in OTHER_SPACES):
+        if SPACES_MEET.search(text):
+            return None
     words = text.split(" ")
-    if len(words) < 2 or any(not w or w[0].isspace() or w[-1].isspace() for w in words):
-        return None
-    return words
+    return None if not words[0] or not words[-1] or "" in words or words[0][0] == "\n" or words[-1][-1] == "\n" else words
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -84,9 +98,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                split = [space_led(t) for t in texts]
-                known.learn(set().union(*(w[1:] for w in split if w)))
-                rows = [(d, *p) for d, t, w in zip(part.column(0).to_pylist(), texts, split) for p in cut(known.text_ids(t, w) + end, capacity)]
+                rows = [(d, *p) for d, ids in zip(part.column(0).to_pylist(), known.texts_ids(texts)) for p in cut(ids + end, capacity)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32()] + [pa.int64()] * 3)],
                                                  names=[c.split()[0] for c in PIECES.split(", ")])
