@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     table; each round takes the smallest label next to a node and then that label's own label, so long chains
     shorten quickly. Only a count of changes reaches the driver."""
     one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = stage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stage(one.select(F.inline(ways)).distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
                    .select("node", F.least("node", "near").alias("label")), "labels")
     while True:

@@ -351,9 +351,8 @@ def cluster(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_c
     Null texts are empty; an empty set links with nothing. Rows with equal sets are linked; a null id is never smallest."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     nodes = stage(sets(d, join), "sets")
-    classes = stage(nodes.where("key is not null").groupBy("key", "short").agg(F.min("doc_id").alias("rep")), "classes")
-    n = classes.count()
-    buckets = max(32, n // 4000)
+    classes = stage(nodes.where("key is not null").groupBy("key", "short", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
+    buckets = max(32, classes.count() // 4000)
     g = stage(groups(signature_blocks(d, join, buckets)), "groups")
     leaders = g.where(F.col("kind") == HOT_LEADER).select("sig", F.col("a").alias("leader"))
     hot = g.where(F.col("kind") == HOT).select("sig", F.col("a").alias("short")).distinct()
@@ -372,8 +371,10 @@ def cluster(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_c
     named = lambda m: m.join(labels.withColumnRenamed("node", "short"), "short", "left").withColumn("label", F.coalesce("label", "short"))
     apart = lambda m: m.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     small = named(small)
-    small = small.join(apart(small), "sig", "left_semi")
-    pairs = small.alias("x").join(small.alias("y"), "sig").where("x.short < y.short and x.label <> y.label") \
+    small = small.join(apart(small), "sig", "left_semi").join(classes.select("short", "n"), "short")
+    x, y = small.alias("x"), small.alias("y")
+    sizes = (F.col("x.n") * join.of >= F.col("y.n") * join.least) & (F.col("y.n") * join.of >= F.col("x.n") * join.least)
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.short") < F.col("y.short")) & (F.col("x.label") != F.col("y.label")) & sizes) \
         .select(F.col("x.short").alias("a"), F.col("y.short").alias("b")).distinct()    # groups of at most SMALL
     hot = named(hot)
     hot = stage(hot.join(apart(hot), "sig", "left_semi"), "hot")
@@ -382,7 +383,7 @@ def cluster(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_c
         clusters = components(hot.join(leaders, "sig").select(F.col("leader").alias("a"), F.col("short").alias("b")))
         members = hot.select("short", "label").distinct().join(clusters.select(F.col("node").alias("short"), F.col("label").alias("cluster")), "short")
         second = second.unionByName(block_pairs(members, found, join)).distinct()
-    every = first.unionByName(links(second, found, join)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    every = first.unionByName(stage(links(stage(second, "near"), found, join), "links")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     joined = components(every)
     top = classes.select(F.col("key").alias("node"), "rep").join(joined, "node")
     smallest = top.groupBy("label").agg(F.min("rep").alias("least"))
