@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stage
+from .common import ship_by_value
 
 ship_by_value(__name__)
 
@@ -110,6 +110,11 @@ def by_bucket(hashes: np.ndarray, buckets: int):
         yield int(to[o[x]]), o[x:y]
 
 
+def brief(hashes: np.ndarray) -> np.ndarray:
+    """Half of each hash: enough for a document to know its own few again; a wrong one only sends a run more."""
+    return (hashes >> U(32)).astype(np.uint32)
+
+
 def pack_array(a: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
 
@@ -143,7 +148,7 @@ def smaller_document_has(words: np.ndarray, docs: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------
 
 def shared_hashes(t: DataFrame, buckets: int) -> DataFrame:
-    """(row, shared): per document key the hashes (packed) that another document has too."""
+    """(row, shared): per document key the hashes (packed, shortened) that another document has too."""
     import pyarrow as pa
 
     schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary())])
@@ -197,7 +202,7 @@ def shared_hashes(t: DataFrame, buckets: int) -> DataFrame:
         h, r = h[o], r[o]
         cut = np.nonzero(np.r_[True, r[1:] != r[:-1]])[0] if len(r) else np.zeros(0, np.int64)
         edge = np.r_[cut, len(r)]
-        return pa.table({"row": pa.array(r[cut], pa.int64()), "shared": pa.array([h[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())})
+        return pa.table({"row": pa.array(r[cut], pa.int64()), "shared": pa.array([brief(h[x:y]).tobytes() for x, y in zip(edge, edge[1:])], pa.binary())})
 
     blocks = t.where("doc_id is not null").select("row", F.col("text").cast("binary")).mapInArrow(gather, "bucket int, hashes binary, rows binary")
     return blocks.groupBy("bucket").applyInArrow(tell, "row long, shared binary") \
@@ -220,14 +225,14 @@ def covered(told: DataFrame, buckets: int) -> DataFrame:
             if not keep:
                 continue
             rows, docs = np.array([rows[i] for i in keep], np.int64), np.array([docs[i] for i in keep], np.int64)
-            own = [np.unique(np.frombuffer(b"".join(shared[i]), U)) for i in keep]
+            own = [np.unique(np.frombuffer(b"".join(shared[i]), np.uint32)) for i in keep]
             known: dict[tuple, int] = {}
             entry = []
             for group in slices([texts[i] or b"" for i in keep]):
                 h, text, begin, n, left, at, joined = runs(group, codes)
                 # runs come in text order: each text's runs are a stretch
                 edge = np.nonzero(np.r_[True, text[1:] != text[:-1]])[0] if len(text) else np.zeros(0, np.int64)
-                hit = [np.isin(h[x:y] & ~U(1), own[text[x]] & ~U(1)) for x, y in zip(edge, np.r_[edge[1:], len(text)])]
+                hit = [np.isin(brief(h[x:y]), own[text[x]]) for x, y in zip(edge, np.r_[edge[1:], len(text)])]
                 hit = np.nonzero(np.concatenate(hit))[0] if hit else np.zeros(0, np.int64)
                 whole = joined.tobytes()
                 for i in hit:
@@ -253,7 +258,7 @@ def covered(told: DataFrame, buckets: int) -> DataFrame:
                 x = e[edge[p]:edge[p + 1]]
                 for c, v in zip(out, (bucket, pack_array(kh[i]), pack_array(lefts[i]), pack_array(counts[i]),
                                       zlib.compress(b"".join(bodies[k][3] for k in i), 1), pack_array(local[x[:, 0]].astype(np.int32)),
-                                      pack_array(rows[x[:, 1]]), pack_array(docs[x[:, 1]]), pack_array(x[:, 2]))):
+                                      pack_array(rows[x[:, 1]]), pack_array(docs[x[:, 1]]), pack_array(x[:, 2].astype(np.int32)))):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
@@ -264,7 +269,7 @@ def covered(told: DataFrame, buckets: int) -> DataFrame:
         base = np.cumsum([0] + sizes)
         runs_of = [np.frombuffer(zlib.decompress(b), np.int32) + base[k] for k, b in enumerate(col("run"))]
         run = np.concatenate(runs_of).astype(np.int64)
-        row, doc, begin = unpack(col("rows"), np.int64), unpack(col("docs"), np.int64), unpack(col("begins"), np.int64)
+        row, doc, begin = unpack(col("rows"), np.int64), unpack(col("docs"), np.int64), unpack(col("begins"), np.int32).astype(np.int64)
         data = b"".join(zlib.decompress(b) for b in col("bytes"))
         length = n + LEN - 1
         at = np.cumsum(length) - length
@@ -335,9 +340,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     t = t.withColumn("row", F.xxhash64("doc_id", "text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets = int(max(64, size // 12_000_000))
-    shared = stage(shared_hashes(t, buckets), "shared-anchors")
-    # both joins below read one shuffle of the texts by row
-    told = t.join(shared.hint("shuffle_hash"), "row", "left").select("row", "doc_id", F.col("text").cast("binary").alias("text"), "shared")
+    # both joins below read one shuffle of the texts by row, and the first the grouping of the hashes by row
+    told = t.join(shared_hashes(t, buckets).hint("shuffle_hash"), "row", "left").select("row", "doc_id", F.col("text").cast("binary").alias("text"), "shared")
     spans = covered(told, buckets).groupBy("row").agg(F.collect_list(F.struct("doc_id", "begin", "end")).alias("spans"))
     both = t.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
