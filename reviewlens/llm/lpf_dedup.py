@@ -210,7 +210,7 @@ def shared_hashes(t: DataFrame, buckets: int) -> DataFrame:
 
 
 def covered(told: DataFrame, buckets: int) -> DataFrame:
-    """(row, doc_id, begin, end) of bytes covered by strings that a smaller document has."""
+    """(row, span) of bytes covered by strings that a smaller document has."""
     import pyarrow as pa
 
     columns = ["hashes", "left", "strings", "bytes", "run", "rows", "docs", "begins"]
@@ -314,10 +314,27 @@ def covered(told: DataFrame, buckets: int) -> DataFrame:
                 d = np.diff(np.r_[0, f.astype(np.int8), 0])
                 a, z = np.nonzero(d == 1)[0], np.nonzero(d == -1)[0]
                 out.append((np.full(len(a), row[k]), np.full(len(a), doc[k]), begin[k] + a, begin[k] + z + LEN - 1))
-        return pa.table({c: pa.array(np.concatenate([x[q] for x in out]), pa.int64()) for q, c in enumerate(("row", "doc_id", "begin", "end"))})
+        r, d, a, z = (np.concatenate([x[q] for x in out]).astype(np.int64) for q in range(4))
+        return pa.table({"row": pa.array(r), "span": pa.array(span_code(d, a, z))})
 
     return told.mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in columns)) \
-        .groupBy("bucket").applyInArrow(compare, "row long, doc_id long, begin long, end long")
+        .groupBy("bucket").applyInArrow(compare, "row long, span long")
+
+
+def id_check(docs: np.ndarray) -> np.ndarray:
+    """24 bits of an id, to tell apart documents whose row keys are equal by chance."""
+    return ((docs.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15)) >> U(40)).astype(np.int64)
+
+
+def span_code(docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One long per span: its begin (31 bits), its length (8 bits, a run's bytes at most), the check of its id."""
+    return (((begin << 8) | (end - begin)) << 24) | id_check(docs)
+
+
+def spans_of(codes: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the spans with the id's check."""
+    own = codes[(codes & 0xFFFFFF) == id_check(np.array([doc], np.int64))[0]] >> 24
+    return own >> 8, (own >> 8) + (own & 0xFF)
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +359,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     buckets = int(max(64, size // 12_000_000))
     # both joins below read one shuffle of the texts by row, and the first the grouping of the hashes by row
     told = t.join(shared_hashes(t, buckets).hint("shuffle_hash"), "row", "left").select("row", "doc_id", F.col("text").cast("binary").alias("text"), "shared")
-    spans = covered(told, buckets).groupBy("row").agg(F.collect_list(F.struct("doc_id", "begin", "end")).alias("spans"))
+    spans = covered(told, buckets).groupBy("row").agg(F.collect_list("span").alias("spans"))
     both = t.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
@@ -351,11 +368,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
             rows = []
             for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 text = text or b""
-                own = [(s["begin"], s["end"]) for s in own or () if s["doc_id"] == doc]
+                a, z = spans_of(np.array(own, np.int64), doc) if own and doc is not None else ((), ())
                 kept, removed, n = text, 0, 0
-                if own:
-                    x = np.array(own, np.int64)
-                    a, z = merged(x[:, 0], x[:, 1])
+                if len(a):
+                    a, z = merged(a, z)
                     kept = b"".join(text[i:j] for i, j in zip([0, *z.tolist()], [*a.tolist(), len(text)]))
                     removed, n = int((z - a).sum()), len(a)
                 rows.append((doc, len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept)[:6 if keep_text else 5])
