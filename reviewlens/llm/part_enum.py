@@ -161,8 +161,8 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
 
 def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
     """Signatures of each Arrow batch by bucket: (bucket, keys and counts of the sets, their signatures). Equal sets of a batch sign
-    once. A signature on over ``SMALL`` sets of a batch goes to its bucket for the first ones only; the others travel in
-    a row of their own under a negative bucket."""
+    once. A signature on over ``SMALL`` + 1 sets of a batch goes to its bucket for the first ``SMALL`` + 1 only, enough to make
+    its group a large one; the others travel in a row of their own under a negative bucket."""
     import pyarrow as pa
 
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sigs", pa.binary())])
@@ -185,7 +185,7 @@ def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
             sig, key = sig[o], key[o]
             first = np.nonzero(np.r_[True, sig[1:] != sig[:-1]])[0]
             rank = np.arange(len(sig)) - np.repeat(first, np.diff(np.r_[first, len(sig)]))
-            more = rank >= SMALL
+            more = rank > SMALL
             if more.any():
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - int(abs(key[more][0])) % (1 << 30)], pa.int32()), pa.array([key[more].tobytes()], pa.binary()),
                                                   pa.array([sig[more].tobytes()], pa.binary())], schema=schema)

@@ -66,6 +66,14 @@ def test_join_with_hot_groups(spark, monkeypatch):
     check_join(spark, corpus(2), part_enum.Join(5, 80, 100))
 
 
+def test_join_with_a_hot_group_in_one_batch(spark):
+    """More sets on a signature than a small group holds, all from one Arrow batch."""
+    texts = [" ".join(VOCABULARY * 2) + f" last{i}" for i in range(100)]
+    docs = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]).coalesce(1)
+    assert part_enum.SMALL < 99
+    assert {r["component_id"] for r in part_enum.cluster(docs).collect()} == {0}
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(4)
     points = part_enum.Points(part_enum.Join(4, 85, 100))
