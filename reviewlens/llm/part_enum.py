@@ -346,9 +346,9 @@ def block_pairs(members: DataFrame, found: DataFrame, join: Join, block: int = 5
     return rows.groupBy("cluster", "c1", "i1", "c2", "i2").applyInArrow(run, "a long, b long").distinct()
 
 
-def cluster(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-    Null texts are empty; an empty set links with nothing. Rows with equal sets are linked; a null id is never smallest."""
+def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, key, component (its smallest id, null for an empty set) and chosen. Of the
+    rows of a component, those of the smallest id are chosen, of these the ones of the smallest key; a null id comes last."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     nodes = stage(sets(d, join), "sets")
     classes = stage(nodes.where("key is not null").groupBy("key", "short", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
@@ -386,21 +386,38 @@ def cluster(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_c
     every = first.unionByName(stage(links(stage(second, "near"), found, join), "links")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     joined = components(every)
     top = classes.select(F.col("key").alias("node"), "rep").join(joined, "node")
-    smallest = top.groupBy("label").agg(F.min("rep").alias("least"))
+    smallest = top.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("node").alias("key"))).alias("least"))
     per_key = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").join(smallest, "label", "left") \
-        .select("key", F.coalesce("least", "rep").alias("component"))
-    return nodes.join(per_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("key", "rep", F.coalesce("least.rep", "rep").alias("component"), (F.coalesce("least.key", "key") == F.col("key")).alias("first"))
+    return nodes.join(per_key, "key", "left").select("doc_id", "n_shingles", "key", "component",
+                                                     (F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("chosen"))
+
+
+def cluster(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+    Null texts are empty; an empty set links with nothing. Rows with equal sets are linked; a null id is never smallest."""
+    return components_by_key(docs, join, id_col, text_col).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the row of its smallest id. Of rows that repeat an
-    id, those with equal texts stay once; rows without an id stay unless linked to one that has an id."""
-    kept = cluster(docs, join, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.col("doc_id").alias("_kept")).distinct()
-    kept = stage(kept, "kept")
-    out = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` that stay, with all columns: of each component one row of its smallest id, or of its smallest key
+    if none of its rows has an id. Rows with empty sets stay, those with equal ids and texts once."""
+    rows = components_by_key(docs, join, id_col, text_col)
+    kept = stage(rows.where("chosen or key is null").select(F.col("doc_id").alias("_kept"), F.col("key").alias("_key")).distinct(), "kept")
     again = stage(docs.groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again"), "repeated-ids")
-    if not again.limit(1).count():
-        return out
-    mine = F.col(id_col).eqNullSafe(F.col("_again"))
-    return out.join(again, mine, "left_anti").unionByName(out.join(again, mine, "left_semi").dropDuplicates([id_col, text_col]))
+    ids = kept.select("_kept").distinct()
+    if not again.limit(1).count():       # an id is a row
+        return docs.join(ids.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    has, known = F.col(id_col).isNotNull(), WordHashes()
+
+    def key_of(text):
+        s = shingles(text, join.words, known)
+        return set_key(s) if len(s) else None
+
+    one = docs.where(has).join(again, F.col(id_col) == F.col("_again"), "left_anti").join(ids.hint("shuffle_hash"), F.col(id_col) == F.col("_kept"), "left_semi")
+    more = docs.where(~has).unionByName(docs.where(has).join(again, F.col(id_col) == F.col("_again"), "left_semi"))
+    more = more.withColumn("_set", F.udf(key_of, "binary")(F.col(text_col).cast("string"))) \
+        .withColumn("_empty", F.when(F.col("_set").isNull(), F.col(text_col)))
+    more = more.dropDuplicates([id_col, "_set", "_empty"])     # before the join, so that no key is on many rows
+    chosen = more.where("_set is not null").join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_set") == F.col("_key")), "left_semi")
+    return one.unionByName(chosen.unionByName(more.where("_set is null")).drop("_set", "_empty"))

@@ -99,6 +99,17 @@ def test_join_edges(spark, edges, nothing):
     assert kept.columns == edges.columns and kept.where("doc_id in (4, 5)").count() == 1 and kept.where("doc_id = 3").count() == 1
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Rows without an id and rows that repeat one: each stands or goes with its own component."""
+    near = lambda name, last: " ".join(f"{name}{i}" for i in range(60)) + f" {last}"
+    rows = [(1, near("a", "x")), (None, near("a", "y")), (None, near("b", "x")), (None, near("b", "y")), (None, near("c", "x")),
+            (5, near("d", "x")), (5, near("a", "z")), (6, near("d", "y")), (7, near("e", "x")), (7, near("e", "y")), (7, near("e", "y").upper()),
+            (None, ""), (None, ""), (None, None), (7, "")]
+    kept = part_enum.one_of_each(frame(spark, [(i, t, "", "", 0) for i, t in rows])).collect()
+    got = sorted((r["doc_id"] or 0, (r["text"] or "-")[:1].lower()) for r in kept)
+    assert got == [(0, "-"), (0, "-"), (0, "b"), (0, "c"), (1, "a"), (5, "d"), (7, "-"), (7, "e")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 120), (120, 110), (7, 7)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
