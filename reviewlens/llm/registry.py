@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from . import (dedup_queries, join_queries, license_queries, mix_queries, neighbour_queries, pack_queries, quality_queries,
-               secret_queries)
+               secret_queries, warc_queries)
 
-GROUPS = [quality_queries, pack_queries, license_queries, neighbour_queries, dedup_queries, secret_queries, join_queries, mix_queries]
+GROUPS = [quality_queries, pack_queries, license_queries, neighbour_queries, dedup_queries, secret_queries, join_queries, mix_queries,
+          warc_queries]
 
 
 def queries() -> dict:
