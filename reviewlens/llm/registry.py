@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import (conversation_queries, dedup_queries, join_queries, license_queries, mix_queries, neighbour_queries, pack_queries, quality_queries,
+from . import (conversation_queries, dedup_queries, join_queries, license_queries, mix_queries, negative_queries, neighbour_queries, pack_queries, quality_queries,
                secret_queries, warc_queries)
 
 GROUPS = [quality_queries, pack_queries, license_queries, neighbour_queries, dedup_queries, secret_queries, join_queries, mix_queries,
-          conversation_queries, warc_queries]
+          conversation_queries, negative_queries, warc_queries]
 
 
 def queries() -> dict:
