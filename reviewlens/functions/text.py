@@ -90,3 +90,12 @@ def is_upper(c) -> Column:
 def count_char(c, ch: str) -> Column:
     c = _c(c)
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+
+
+def letter_profile(c, groups=("e", "n", "o", "h", "é")) -> Column:
+    """An encoder without a model: the share of each group of letters among a text's letters, as an array; null for a text without letters. Texts
+    of one language lie close together."""
+    t = F.lower(_c(c))
+    n = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    share = [(F.length(t) - F.length(F.translate(t, g, ""))) / n for g in groups]
+    return F.when(n > 0, F.array(*share))

@@ -1,6 +1,6 @@
 """Topics and aspects from cluster labels.
 
-Input is a sentence table with a cluster label per sentence (from ``cluster.density_clusters`` or any
+Input is a sentence table with a cluster label per sentence (from ``density.density_clusters`` or any
 other grouping). Everything after the word counts works on small tables: one row per topic, or per
 (topic, word), and the sentence-level joins use a broadcast of the per-topic map (checked size).
 """
@@ -71,6 +71,47 @@ def topic_info(topic_map: DataFrame, words: DataFrame) -> DataFrame:
         F.array_join(ws, ",").alias("representation"))
 
 
+def centroids(members: DataFrame, dims: int, topic_col: str = "topic_id", vector_col: str = "reduced") -> DataFrame:
+    """(topic, centroid): the mean vector of every topic, one row per topic, summed map-side."""
+    return members.groupBy(topic_col).agg(F.array(*[F.avg(F.col(vector_col)[i]) for i in range(dims)]).alias("centroid"))
+
+
+def representatives(members: DataFrame, dims: int, k: int = d.REPRESENTATIVE_DOCS, topic_col: str = "topic_id", vector_col: str = "reduced",
+                    id_col: str = "review_id", spread: int = 64) -> DataFrame:
+    """(topic, rank, id) of the ``k`` members nearest to their topic's centroid (distance to 9 decimals, ties: smaller id). Every task keeps the k best of
+    each topic it meets, as a bounded state that merges with others; only those rows are shuffled, first over ``spread`` keys a topic. A topic that
+    holds a third of the rows stays split over all tasks."""
+    square = None
+    for i in range(dims):
+        one = (F.col(vector_col)[i] - F.col("centroid")[i]) * (F.col(vector_col)[i] - F.col("centroid")[i])
+        square = one if square is None else square + one
+    near = members.where(F.col(vector_col).isNotNull()).join(sized_broadcast(centroids(members, dims, topic_col, vector_col)), topic_col) \
+        .select(F.col(topic_col).alias("topic"), F.round(F.sqrt(square), 9).alias("distance"), F.col(id_col).cast("long").alias("id"))
+
+    def best(batches):
+        import pandas as pd
+
+        kept = None
+        for b in batches:
+            both = b if kept is None else pd.concat([kept, b])
+            kept = both.sort_values(["topic", "distance", "id"], kind="stable").groupby("topic", sort=False).head(k)
+        if kept is not None:
+            yield kept
+
+    some = near.where("topic is not null").mapInPandas(best, near.schema)
+    first = lambda g: g.agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("m"))
+    spread_rows = first(some.groupBy("topic", F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part"))).select("topic", F.inline("m"))
+    return first(spread_rows.groupBy("topic")).select(F.col("topic").alias(topic_col), F.posexplode("m").alias("rank", "r")) \
+        .select(topic_col, (F.col("rank") + 1).alias("rank"), F.col("r")["id"].alias(id_col))
+
+
+def representative_docs(info: DataFrame, chosen: DataFrame, texts: DataFrame, text_col: str, topic_col: str = "topic_id", id_col: str = "review_id") -> DataFrame:
+    """The topic table with ``representative_docs``, the texts of its representatives by rank. At most k ids per topic meet the texts."""
+    found = texts.select(id_col, text_col).join(sized_broadcast(chosen), id_col)
+    docs = found.groupBy(topic_col).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(text_col).alias("text")))).alias("_d"))
+    return info.join(docs.select(topic_col, F.transform("_d", lambda x: x["text"]).alias("representative_docs")), topic_col, "left")
+
+
 def topic_summary(info: DataFrame, top_n: int = d.TOPIC_SUMMARY_ROWS) -> DataFrame:
     """The first ``top_n`` topics by id, noise excluded (a report limit)."""
     return info.where(F.col("topic_id") != -1).orderBy("topic_id").limit(top_n)

@@ -1,6 +1,7 @@
 """Registered queries for topics, aspects, review analysis and summaries.
 
-Test-data stand-ins: a sentence's cluster is its document's ``source`` (20 groups); the aspect keyword
+Test-data stand-ins: in the first queries a sentence's cluster is its document's ``source`` (20 groups), in the ``cluster_`` queries
+it is its review's density cluster; the aspect keyword
 sets for naming topics are built from the corpus (class-based TF-IDF top words per language), since
 invented prose rarely contains the default film keywords.
 """
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import aspects as fa
+from ..functions import text as tx
 from ..operators import analyze as an
+from ..operators import density as dn
 from ..operators import model as md
 from ..operators import text as tt
 from ..operators import topics as tp
@@ -21,6 +24,11 @@ from . import model_queries as mq
 from . import sqlparts as S
 
 
+# density parameters: of the reviews' letter profiles, and of the first five columns of the embeddings
+PROFILE_EPS, PROFILE_MIN_PTS = 0.02, 10
+VECTOR_EPS, VECTOR_MIN_PTS, VECTOR_MIN_SIZE = 0.12, 8, 20
+
+
 def _sentences_with_source(spark, sf, r=None):
     r = r if r is not None else common.reviews(spark, sf)
     src = tables.table(spark, sf, "documents").select("doc_id", "source", "lang")
@@ -37,6 +45,20 @@ def _topics(spark, sf, r=None):
     return r, s, tmap, st, words
 
 
+def _cluster_topics(spark, sf, r=None):
+    """The same frames with density clusters (A3) of the reviews as cluster labels: reviews are points by their letter profile, sentences take
+    the cluster of their review, noise is cluster -1."""
+    r = r if r is not None else common.reviews(spark, sf)
+    lang = tables.table(spark, sf, "documents").select("doc_id", "lang")
+    points = r.select("review_id", tx.letter_profile("review_text").alias("reduced"))
+    clusters = dn.density_clusters(points, PROFILE_EPS, PROFILE_MIN_PTS, id_col="review_id").select("review_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    s = tt.explode_sentences(r.join(lang, "doc_id").join(clusters, "review_id"), "review_text", ["review_id", "cluster", "lang"])
+    s = tt.materialize(s, "sentences")
+    tmap = tp.number_topics(s, "cluster", noise=-1)
+    st = tp.assign_topics(s, tmap, "cluster")
+    return r, s, tmap, st, tp.topic_word_scores(st, "topic_id", "sentence")
+
+
 def _corpus_keywords(s):
     """Aspect keyword sets from the corpus: per language, its top words by class-based TF-IDF."""
     lw = tp.topic_word_scores(s, "lang", "sentence")
@@ -46,8 +68,8 @@ def _corpus_keywords(s):
                      F.col("word").alias("keyword"))
 
 
-def _mapping(spark, sf, r=None):
-    r, s, tmap, st, words = _topics(spark, sf, r)
+def _mapping(spark, sf, r=None, topics=_topics):
+    r, s, tmap, st, words = topics(spark, sf, r)
     kw = _corpus_keywords(s)
     return r, s, tmap, st, words, kw, tp.topic_aspects(words, kw)
 
@@ -92,11 +114,11 @@ def _model(spark, sf, r=None):
     return an.LinearTextModel(idf.checkpoint(), coef.checkpoint(), b)
 
 
-def _final(spark, sf):
+def _final(spark, sf, topics=_topics):
     """aspect_sentiment_final: (review_id, pos, sentence, aspect, sentence_sentiment)."""
     r = common.reviews(spark, sf)
     model = _model(spark, sf, r)
-    _, _, _, st, _, _, m = _mapping(spark, sf, r)
+    _, _, _, st, _, _, m = _mapping(spark, sf, r, topics)
     sa = tp.sentence_aspects(st, m).select("review_id", "pos", "sentence", "aspect")
     return model.predict(sa, ["review_id", "pos"], "sentence", out="sentence_sentiment", carry=("sentence", "aspect"))
 
@@ -160,7 +182,58 @@ def q_keyword_aspect_topics(spark, sf):
     return s.select("review_id", "pos", fa.keyword_aspect("sentence", d.TOPIC_ASPECT_KEYWORDS).alias("aspect"))
 
 
+def q_density_cluster(spark, sf):
+    """A3 on the embeddings table, reduced to its first five columns."""
+    points = tables.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("reduced"))
+    return dn.density_clusters(points, VECTOR_EPS, VECTOR_MIN_PTS, VECTOR_MIN_SIZE, id_col="vec_id")
+
+
+def q_cluster_topic_number(spark, sf):
+    return _cluster_topics(spark, sf)[2]
+
+
+def q_cluster_topic_words(spark, sf):
+    return _cluster_topics(spark, sf)[4].select("topic_id", "word", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def q_cluster_topic_info(spark, sf):
+    """A6 whole: count, name, words, and the texts of the three reviews nearest to the topic's centroid."""
+    r, _, tmap, st, words = _cluster_topics(spark, sf)
+    info = tp.topic_info(tmap, words)
+    # noise and topics are those of the sentences; a review has one cluster
+    members = st.select("review_id", "topic_id").distinct().join(r.select("review_id", "review_text"), "review_id") \
+        .withColumn("reduced", tx.letter_profile("review_text"))
+    chosen = tp.representatives(members, 5)
+    return tp.representative_docs(info, chosen, r, "review_text").withColumn("representative_docs", F.array_join("representative_docs", "|"))
+
+
+def q_cluster_topic_to_aspect(spark, sf):
+    return _mapping(spark, sf, topics=_cluster_topics)[6]
+
+
+def q_cluster_mapping_report(spark, sf):
+    _, _, _, _, words, kw, m = _mapping(spark, sf, topics=_cluster_topics)
+    return tp.mapping_report(words, kw, m)
+
+
+def q_cluster_sentence_aspect(spark, sf):
+    _, _, _, st, _, _, m = _mapping(spark, sf, topics=_cluster_topics)
+    return tp.sentence_aspects(st, m).select("review_id", "pos", "topic_id", "aspect")
+
+
+def q_cluster_aspect_crosstab(spark, sf):
+    return tp.crosstab(_final(spark, sf, _cluster_topics))
+
+
 QUERIES = {
+    "density_cluster": q_density_cluster,
+    "cluster_topic_number": q_cluster_topic_number,
+    "cluster_topic_words": q_cluster_topic_words,
+    "cluster_topic_info": q_cluster_topic_info,
+    "cluster_topic_to_aspect": q_cluster_topic_to_aspect,
+    "cluster_mapping_report": q_cluster_mapping_report,
+    "cluster_sentence_aspect": q_cluster_sentence_aspect,
+    "cluster_aspect_crosstab": q_cluster_aspect_crosstab,
     "topic_number": q_topic_number,
     "topic_words": q_topic_words,
     "topic_info": q_topic_info,
@@ -197,11 +270,27 @@ def _cls_words(src: str, cls: str, name: str) -> str:
            FROM {name}_s) WHERE rank <= {d.TOP_N_WORDS})"""
 
 
-TOPICS = f"""rs AS (SELECT r.review_id, r.review_text, r.sentiment, dd.source, dd.lang FROM reviews r JOIN documents dd USING (doc_id)),
+def _density_sql(points: str, eps: float, min_pts: int, min_size: int, name: str = "cl") -> str:
+    """CTEs that cluster the rows of ``points`` (id, x1 .. x5) into ``name`` (id, cluster); clusters of fewer than ``min_size`` points are null.
+    The recursive part keeps one row per core point, its smallest known core id."""
+    d2 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(1, 6))
+    return f"""{name}_nb AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM {points} a JOIN {points} b ON {d2} <= {eps!r}::DOUBLE * {eps!r}::DOUBLE),
+{name}_core AS MATERIALIZED (SELECT a AS id FROM {name}_nb GROUP BY a HAVING count(*) >= {min_pts}),
+{name}_edge AS MATERIALIZED (SELECT a, b FROM {name}_nb WHERE a <> b AND a IN (FROM {name}_core) AND b IN (FROM {name}_core)),
+{name}_cc(id, cluster) USING KEY (id) AS (SELECT id, id FROM {name}_core
+    UNION SELECT e.b, min(c.cluster) FROM {name}_cc c JOIN {name}_edge e ON e.a = c.id JOIN recurring.{name}_cc AS o ON o.id = e.b WHERE c.cluster < o.cluster GROUP BY e.b),
+{name}_first AS (SELECT n.a AS id, min(n.b) AS core FROM {name}_nb n WHERE n.b IN (FROM {name}_core) GROUP BY n.a),
+{name}_all AS (SELECT p.id, coalesce(own.cluster, near.cluster) AS cluster FROM {points} p LEFT JOIN {name}_cc own ON own.id = p.id
+    LEFT JOIN {name}_first f ON f.id = p.id LEFT JOIN {name}_cc near ON near.id = f.core),
+{name} AS (SELECT id, CASE WHEN cluster IS NOT NULL AND count(*) OVER (PARTITION BY cluster) >= {min_size} THEN cluster END AS cluster FROM {name}_all)"""
+
+
+def _topics_sql(rows: str, noise: str = "false") -> str:
+    """The topic CTEs; ``rows`` defines rs (review_id, review_text, source = the cluster label, lang), ``noise`` tells noise labels."""
+    return rows + f""",
 {S.sentences_cte('st0', 'rs', keep='r.review_id, r.source, r.lang')},
-tg AS (SELECT source AS cluster, count(*) AS count, min({{'r': review_id, 'p': pos}}) AS first FROM st0 GROUP BY source),
-tmap AS (SELECT cluster, CAST(CASE WHEN count < {d.MIN_TOPIC_SIZE} THEN -1
-           ELSE row_number() OVER (PARTITION BY count < {d.MIN_TOPIC_SIZE} ORDER BY count DESC, first) - 1 END AS INTEGER) AS topic_id, count FROM tg),
+tg AS (SELECT source AS cluster, count(*) AS count, min({{'r': review_id, 'p': pos}}) AS first, count(*) < {d.MIN_TOPIC_SIZE} OR {noise} AS is_noise FROM st0 GROUP BY source),
+tmap AS (SELECT cluster, CAST(CASE WHEN is_noise THEN -1 ELSE row_number() OVER (PARTITION BY is_noise ORDER BY count DESC, first) - 1 END AS INTEGER) AS topic_id, count FROM tg),
 st AS (SELECT s.*, m.topic_id FROM st0 s JOIN tmap m ON m.cluster = s.source),
 {_cls_words('st', 'topic_id', 'twd')},
 {_cls_words('st0', 'lang', 'lw')},
@@ -213,6 +302,16 @@ tmapped AS (SELECT topic_id, aspect, CAST(overlap AS INTEGER) AS overlap FROM (
     SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY overlap DESC, aspect_order) AS r FROM ov)
   WHERE r = 1 AND overlap >= {d.MIN_TOPIC_OVERLAP})"""
 
+
+TOPICS = _topics_sql("rs AS (SELECT r.review_id, r.review_text, r.sentiment, dd.source, dd.lang FROM reviews r JOIN documents dd USING (doc_id))")
+_LETTERS = ("e", "n", "o", "h", "é")
+_PROFILE = ", ".join(f"CAST(length(t) - length(translate(t, '{g}', '')) AS DOUBLE) / n AS x{i}" for i, g in enumerate(_LETTERS, 1))
+_POINTS = f"""lt AS (SELECT review_id, lower(review_text) AS t, length(regexp_replace(lower(review_text), '[^\\p{{L}}]', '', 'g')) AS n FROM reviews),
+pts AS MATERIALIZED (SELECT review_id AS id, {_PROFILE} FROM lt WHERE n > 0)"""
+CLUSTER_TOPICS = f"{_POINTS}, {_density_sql('pts', PROFILE_EPS, PROFILE_MIN_PTS, d.MIN_TOPIC_SIZE)}, " + _topics_sql(
+    """rs AS (SELECT r.review_id, r.review_text, r.sentiment, coalesce(cl.cluster, -1) AS source, dd.lang
+       FROM reviews r JOIN documents dd USING (doc_id) LEFT JOIN cl ON cl.id = r.review_id)""", "source = -1")
+
 INFO = """tinfo AS (SELECT m.topic_id, CAST(sum(m.count) AS BIGINT) AS count,
     CAST(m.topic_id AS VARCHAR) || coalesce('_' || (SELECT string_agg(word, '_' ORDER BY rank) FROM twd WHERE twd.cls = m.topic_id AND rank <= 4), '') AS name,
     (SELECT string_agg(word, ',' ORDER BY rank) FROM twd WHERE twd.cls = m.topic_id) AS representation
@@ -233,20 +332,40 @@ asent AS (SELECT *, {S.keyword_aspect('sentence')} AS aspect FROM asent0),
 {mq.score_cte('aov', 'ok', 'review_id', 'review_text')},
 asr AS (SELECT a.review_id, a.pos, a.sentence, a.aspect, s.p AS sentiment FROM asent a JOIN asc1 s USING (review_id, pos))"""
 
+_REPORT = """,
+        tws AS (SELECT cls AS topic_id, list_sort(list(word)) AS w FROM twd WHERE cls <> -1 GROUP BY cls),
+        mw AS (SELECT t.cls AS topic_id, string_agg(DISTINCT t.word, ',' ORDER BY t.word) AS matched_words
+               FROM twd t JOIN tmapped m ON m.topic_id = t.cls JOIN kw k ON k.aspect = m.aspect AND k.keyword = t.word GROUP BY t.cls)
+        SELECT tws.topic_id, m.aspect, CASE WHEN m.aspect IS NULL THEN 'unmapped' ELSE 'mapped' END AS status,
+               mw.matched_words, array_to_string(list_slice(tws.w, 1, 5), ',') AS top_words
+        FROM tws LEFT JOIN tmapped m USING (topic_id) LEFT JOIN mw USING (topic_id)"""
+
 ORACLE = {
+    "density_cluster": f"""WITH RECURSIVE vec AS MATERIALIZED (SELECT vec_id AS id, {", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS x{i}" for i in range(1, 6))} FROM embeddings),
+        {_density_sql('vec', VECTOR_EPS, VECTOR_MIN_PTS, VECTOR_MIN_SIZE)} SELECT id AS vec_id, cluster FROM cl""",
+    **{name: f"WITH RECURSIVE {S.BASE}, {CLUSTER_TOPICS} " + sql for name, sql in {
+        "cluster_topic_number": "SELECT cluster, topic_id, count FROM tmap",
+        "cluster_topic_words": "SELECT cls AS topic_id, word, round(score, 6) AS score, rank FROM twd",
+        "cluster_topic_info": f""", {INFO},
+            mem AS (SELECT DISTINCT s.topic_id, p.* FROM st s JOIN pts p ON p.id = s.review_id),
+            cen AS (SELECT topic_id, {", ".join(f"avg(x{i}) AS c{i}" for i in range(1, 6))} FROM mem GROUP BY topic_id),
+            rep AS (SELECT m.topic_id, m.id, row_number() OVER (PARTITION BY m.topic_id ORDER BY round(sqrt({" + ".join(f"(x{i} - c{i}) * (x{i} - c{i})" for i in range(1, 6))}), 9), m.id) AS rank
+                    FROM mem m JOIN cen USING (topic_id))
+            SELECT t.topic_id, t.count, t.name, t.representation,
+                   (SELECT string_agg(r.review_text, '|' ORDER BY rep.rank) FROM rep JOIN reviews r ON r.review_id = rep.id
+                    WHERE rep.topic_id = t.topic_id AND rep.rank <= {d.REPRESENTATIVE_DOCS}) AS representative_docs FROM tinfo t""",
+        "cluster_topic_to_aspect": "SELECT topic_id, aspect, overlap FROM tmapped",
+        "cluster_mapping_report": _REPORT,
+        "cluster_sentence_aspect": "SELECT s.review_id, s.pos, s.topic_id, m.aspect FROM st s JOIN tmapped m USING (topic_id)"}.items()},
+    "cluster_aspect_crosstab": f"""WITH RECURSIVE {S.BASE}, {mq.FIT}, {mq.NB}, {CLUSTER_TOPICS}, {FINAL} SELECT aspect, count(*) FILTER (WHERE sentence_sentiment = 'negative') AS negative,
+        count(*) FILTER (WHERE sentence_sentiment = 'positive') AS positive FROM final GROUP BY aspect""",
     "topic_number": f"WITH {S.BASE}, {TOPICS} SELECT cluster, topic_id, count FROM tmap",
     "topic_words": f"WITH {S.BASE}, {TOPICS} SELECT cls AS topic_id, word, round(score, 6) AS score, rank FROM twd",
     "topic_info": f"WITH {S.BASE}, {TOPICS}, {INFO} SELECT topic_id, count, name, representation FROM tinfo",
     "topic_summary": f"""WITH {S.BASE}, {TOPICS}, {INFO} SELECT topic_id, count, name, representation FROM tinfo
         WHERE topic_id <> -1 ORDER BY topic_id LIMIT {d.TOPIC_SUMMARY_ROWS}""",
     "topic_to_aspect": f"WITH {S.BASE}, {TOPICS} SELECT topic_id, aspect, overlap FROM tmapped",
-    "aspect_mapping_report": f"""WITH {S.BASE}, {TOPICS},
-        tws AS (SELECT cls AS topic_id, list_sort(list(word)) AS w FROM twd WHERE cls <> -1 GROUP BY cls),
-        mw AS (SELECT t.cls AS topic_id, string_agg(DISTINCT t.word, ',' ORDER BY t.word) AS matched_words
-               FROM twd t JOIN tmapped m ON m.topic_id = t.cls JOIN kw k ON k.aspect = m.aspect AND k.keyword = t.word GROUP BY t.cls)
-        SELECT tws.topic_id, m.aspect, CASE WHEN m.aspect IS NULL THEN 'unmapped' ELSE 'mapped' END AS status,
-               mw.matched_words, array_to_string(list_slice(tws.w, 1, 5), ',') AS top_words
-        FROM tws LEFT JOIN tmapped m USING (topic_id) LEFT JOIN mw USING (topic_id)""",
+    "aspect_mapping_report": f"WITH {S.BASE}, {TOPICS}" + _REPORT,
     "sentence_aspect": f"WITH {S.BASE}, {TOPICS} SELECT s.review_id, s.pos, s.topic_id, m.aspect FROM st s JOIN tmapped m USING (topic_id)",
     "sentence_sentiment": f"WITH {_FINAL_BASE}, {FINAL} SELECT review_id, pos, aspect, sentence_sentiment FROM final",
     "aspect_crosstab": f"""WITH {_FINAL_BASE}, {FINAL} SELECT aspect, count(*) FILTER (WHERE sentence_sentiment = 'negative') AS negative,

@@ -61,6 +61,7 @@ MIN_DF = 2
 MAX_ITER = 1000
 MIN_TOPIC_SIZE = 30
 TOP_N_WORDS = 10
+REPRESENTATIVE_DOCS = 3        # sample documents per topic
 TOPIC_SUMMARY_ROWS = 25
 MAX_PAGES_PER_FILM = 40
 ENCODE_LENGTH = 256
