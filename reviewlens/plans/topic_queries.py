@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from ..functions import aspects as fa
 from ..functions import text as tx
 from ..operators import analyze as an
+from ..operators import cluster as cl
 from ..operators import density as dn
 from ..operators import model as md
+from ..operators import reduction as rd
 from ..operators import text as tt
+from ..operators import topic_model as tm
 from ..operators import topics as tp
+from ..session import scratch_path
 from ..sources import dictionaries as d
 from ..sources import tables
 from . import common
@@ -27,6 +31,7 @@ from . import sqlparts as S
 # density parameters: of the reviews' letter profiles, and of the first five columns of the embeddings
 PROFILE_EPS, PROFILE_MIN_PTS = 0.02, 10
 VECTOR_EPS, VECTOR_MIN_PTS, VECTOR_MIN_SIZE = 0.12, 8, 20
+WORD_EPS, WORD_MIN_PTS = 0.08, 20   # sentences by the word vectors' first five components
 
 
 def _sentences_with_source(spark, sf, r=None):
@@ -207,6 +212,45 @@ def q_cluster_topic_info(spark, sf):
     return tp.representative_docs(info, chosen, r, "review_text").withColumn("representative_docs", F.array_join("representative_docs", "|"))
 
 
+def _saved_model(spark, sf):
+    """K7: the cluster topics' model, saved and loaded again; and the reviews."""
+    r, _, tmap, st, words = _cluster_topics(spark, sf)
+    members = st.select("review_id", "topic_id").distinct().join(r.select("review_id", "review_text"), "review_id").withColumn("reduced", tx.letter_profile("review_text"))
+    path = scratch_path(spark, "topic_model")
+    tm.TopicModel(tp.topic_info(tmap, words), words, tp.centroids(members.where("topic_id >= 0"), 5)).save(path)
+    return r, tm.TopicModel.load(spark, path)
+
+
+def q_topic_model_roundtrip(spark, sf):
+    """K7 read back: words and size of every saved topic."""
+    _, model = _saved_model(spark, sf)
+    return model.info.join(model.words.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_words")), "topic_id").select("topic_id", "count", "representation", "n_words")
+
+
+def q_topic_model_assign(spark, sf):
+    """Every document as a new text: the topic of the nearest saved centroid."""
+    _, model = _saved_model(spark, sf)
+    docs = tables.table(spark, sf, "documents").select("doc_id", tx.letter_profile("text").alias("reduced"))
+    return model.assign(docs).select("doc_id", "topic_id")
+
+
+def q_embed_reduce5(spark, sf):
+    """A1(c) to A2: the 2^18 columns of hashed TF-IDF reduced to 5."""
+    e = cl.hashed_tfidf(tt.sentence_table(common.reviews(spark, sf)))
+    return rd.fit_reduction(e).transform(e).select("review_id", "pos", *[F.round(F.col("reduced")[i], 6).alias(f"c{i}") for i in range(5)])
+
+
+def q_word_vector_topics(spark, sf):
+    """A1(b), A2, A3, A4: trained word vectors of the sentences, reduced and clustered, with their topic numbers."""
+    s = tt.materialize(tt.sentence_table(common.reviews(spark, sf)).withColumn("id", F.xxhash64("review_id", "pos")), "sentences")
+    e, _ = cl.word_vectors(s)
+    e = tt.materialize(e.select("id", "review_id", "pos", "embedding"), "word_vectors")
+    x = rd.fit_reduction(e).transform(e)
+    clusters = dn.density_clusters(x, WORD_EPS, WORD_MIN_PTS).select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    t = e.select("id", "review_id", "pos").join(clusters, "id")
+    return tp.assign_topics(t, tp.number_topics(t, "cluster", noise=-1), "cluster").select("review_id", "pos", "topic_id")
+
+
 def q_cluster_topic_to_aspect(spark, sf):
     return _mapping(spark, sf, topics=_cluster_topics)[6]
 
@@ -230,6 +274,10 @@ QUERIES = {
     "cluster_topic_number": q_cluster_topic_number,
     "cluster_topic_words": q_cluster_topic_words,
     "cluster_topic_info": q_cluster_topic_info,
+    "topic_model_roundtrip": q_topic_model_roundtrip,
+    "topic_model_assign": q_topic_model_assign,
+    "embed_reduce5": q_embed_reduce5,
+    "word_vector_topics": q_word_vector_topics,
     "cluster_topic_to_aspect": q_cluster_topic_to_aspect,
     "cluster_mapping_report": q_cluster_mapping_report,
     "cluster_sentence_aspect": q_cluster_sentence_aspect,
@@ -354,6 +402,14 @@ ORACLE = {
             SELECT t.topic_id, t.count, t.name, t.representation,
                    (SELECT string_agg(r.review_text, '|' ORDER BY rep.rank) FROM rep JOIN reviews r ON r.review_id = rep.id
                     WHERE rep.topic_id = t.topic_id AND rep.rank <= {d.REPRESENTATIVE_DOCS}) AS representative_docs FROM tinfo t""",
+        "topic_model_roundtrip": f""", {INFO} SELECT topic_id, count, representation, (SELECT count(*) FROM twd WHERE twd.cls = tinfo.topic_id) AS n_words FROM tinfo
+            WHERE topic_id IN (SELECT cls FROM twd)""",
+        "topic_model_assign": f""", mem AS (SELECT DISTINCT s.topic_id, p.* FROM st s JOIN pts p ON p.id = s.review_id WHERE s.topic_id >= 0),
+            cen AS (SELECT topic_id, {", ".join(f"avg(x{i}) AS c{i}" for i in range(1, 6))} FROM mem GROUP BY topic_id),
+            dl AS (SELECT doc_id, lower(text) AS t, length(regexp_replace(lower(text), '[^\\p{{L}}]', '', 'g')) AS n FROM documents),
+            dp AS (SELECT doc_id, {_PROFILE} FROM dl WHERE n > 0),
+            near AS (SELECT doc_id, topic_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(sqrt({" + ".join(f"(x{i} - c{i}) * (x{i} - c{i})" for i in range(1, 6))}), 9), topic_id) AS k FROM dp, cen)
+            SELECT d.doc_id, n.topic_id FROM documents d LEFT JOIN near n ON n.doc_id = d.doc_id AND n.k = 1""",
         "cluster_topic_to_aspect": "SELECT topic_id, aspect, overlap FROM tmapped",
         "cluster_mapping_report": _REPORT,
         "cluster_sentence_aspect": "SELECT s.review_id, s.pos, s.topic_id, m.aspect FROM st s JOIN tmapped m USING (topic_id)"}.items()},
@@ -403,18 +459,13 @@ ORACLE = {
 
 # A1 / A2 (checked by invariants: unit norms, orthonormal components)
 def q_embed(spark, sf):
-    from ..operators import cluster as cl
-    from ..operators import text as tt2
-
-    s = tt2.sentence_table(common.reviews(spark, sf))
+    s = tt.sentence_table(common.reviews(spark, sf))
     e = cl.hashed_tfidf(s)
     st = cl.vector_stats(e, ["review_id", "pos"])
     return st.select("review_id", "pos", "nnz", F.round("norm", 6).alias("norm"))
 
 
 def q_pca5(spark, sf):
-    from ..operators import cluster as cl
-
     e = cl.from_array(tables.table(spark, sf, "embeddings"))
     red, _ = cl.reduce_pca(e, 5)
     return red.select("vec_id", *[F.round(F.col("reduced")[i], 6).alias(f"pc{i}") for i in range(5)])
