@@ -8,8 +8,12 @@ only shuffle, so the shuffle carries one row per review and partition. Text neve
 Implemented rules: lexicon valence; all-caps emphasis when only some words are all caps; boosters
 and dampeners in the three preceding words (damped 0.95 / 0.9 at distance 2 / 3) and negation in
 each of them, both only when that word is not itself in the lexicon; 'but' (x0.5 before, x1.5
-after); '!' (at most 4) and '?' emphasis; normalisation s / sqrt(s^2 + 15). Not implemented: idioms,
-'kind of', 'least', 'never so/this', emoji.
+after); '!' (at most 4) and '?' emphasis; normalisation s / sqrt(s^2 + 15).
+
+Phrases are looked up on the word slices around a lexicon word, in its row: idioms of two or three words (the longest
+match, then the leftmost) set the valence of the lexicon words in them; a phrase such as 'kind of' within the three
+preceding words dampens by its sign, and its own 'kind' counts nothing; 'never so' and 'never this' strengthen and
+'without doubt' does not negate; 'least' negates unless after 'at' or 'very'. Not implemented: emoji.
 """
 
 from __future__ import annotations
@@ -43,9 +47,24 @@ def _negated(lw: Column, negations) -> Column:
     return lw.isin(*negations) | lw.contains("n't")
 
 
+def _phrase_values(phrases, words) -> Column:
+    """The value of the first of the word sequences in ``words`` that the phrase table holds, null without one."""
+    table = F.create_map(*[F.lit(x) for phrase, value in phrases for x in (phrase, float(value))])
+    return F.coalesce(*[F.try_element_at(table, F.when(F.size(F.array_compact(F.array(*w))) == len(w), F.concat_ws(" ", *w))) for w in words])
+
+
+def _around_never(k: int) -> tuple[Column, Column]:
+    """('never so/this', 'without doubt') whose first word is ``k`` places before."""
+    between = [F.col(f"l{j}") for j in range(1, k)]
+    after = lambda values: F.coalesce(F.greatest(*[F.coalesce(b.isin(*values), F.lit(False)) for b in between], F.lit(False)), F.lit(False))
+    if k == 1:
+        return F.lit(False), F.lit(False)
+    return (F.col(f"l{k}") == "never") & after(d.NEVER_WORDS), (F.col(f"l{k}") == "without") & after(["doubt"])
+
+
 def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col="review_id", text_col: str = "review_text",
                    carry: tuple[str, ...] = (), boosters_up=d.BOOSTERS_UP, boosters_down=d.BOOSTERS_DOWN,
-                   negations=d.NEGATIONS) -> DataFrame:
+                   negations=d.NEGATIONS, idioms=d.IDIOMS, phrase_dampeners=d.PHRASE_DAMPENERS) -> DataFrame:
     """V1: one row per input row: (id, *carry, compound), compound rounded to 4 decimals.
 
     ``carry`` names narrow per-row columns to keep (they ride through the aggregate); the input is
@@ -67,12 +86,14 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col="review_id", text_c
         nulls = F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), n))
         return F.concat(nulls, F.slice(w, 1, F.greatest(n - k, F.lit(0))))
 
+    # the next two words: a slice past the end is shorter, and zipping fills it with nulls
+    later = [F.slice(w, k + 1, n).alias(f"f{k}") for k in (1, 2)]
     items = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("_pos"), w.alias("w0"), shifted(1).alias("w1"),
-                         shifted(2).alias("w2"), shifted(3).alias("w3"))
+                         shifted(2).alias("w2"), shifted(3).alias("w3"), *later)
     items = F.when(n > 0, items).otherwise(F.array().cast(
-        "array<struct<_pos:int,w0:string,w1:string,w2:string,w3:string>>"))
+        "array<struct<_pos:int,w0:string,w1:string,w2:string,w3:string,f1:string,f2:string>>"))
     # A sentinel item (pos -1, no word) keeps every review in the aggregate, even with no hit.
-    sentinel = F.array(F.struct(F.lit(-1).alias("_pos"), *[F.lit(None).cast("string").alias(f"w{k}") for k in range(4)]))
+    sentinel = F.array(F.struct(F.lit(-1).alias("_pos"), *[F.lit(None).cast("string").alias(c) for c in ("w0", "w1", "w2", "w3", "f1", "f2")]))
     base = base.select(
         *ids, *carry, "_ex", "_qm",
         ((n_caps > 0) & (n_caps < n)).alias("_capdiff"),
@@ -83,11 +104,11 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col="review_id", text_c
     rows = base.select(*ids, *carry, "_ex", "_qm", "_capdiff", "_but", F.explode_outer("_items").alias("it")).select(
         *ids, *carry, "_ex", "_qm", "_capdiff", "_but", "it._pos",
         *[F.col(f"it.w{k}").alias(f"w{k}") for k in range(4)],
-        *[F.lower(F.col(f"it.w{k}")).alias(f"l{k}") for k in range(4)])
+        *[F.lower(F.col(f"it.w{k}")).alias(f"l{k}") for k in range(4)], *[F.lower(F.col(f"it.f{k}")).alias(f"f{k}") for k in (1, 2)])
     # Only words in the lexicon carry valence: the rest are dropped before any other work.
     rows = rows.join(lex, rows["l0"] == lex["_t"], "left").drop("_t") \
         .where(F.col("_v").isNotNull() | (F.col("_pos") == -1))
-    mods = list(boosters_up) + list(boosters_down) + list(negations)
+    mods = list(boosters_up) + list(boosters_down) + list(negations) + ["least"]
     for k in (1, 2, 3):
         # A neighbour's own lexicon membership matters only when it is a booster or a negation.
         key = F.when(F.col(f"l{k}").isin(*mods) | F.col(f"l{k}").contains("n't"), F.col(f"l{k}"))
@@ -106,9 +127,20 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, id_col="review_id", text_c
         s = F.when((s != 0) & tx.is_upper(wk) & capd,
                    F.when(v > 0, s + d.CAPS_INCR).otherwise(s - d.CAPS_INCR)).otherwise(s)
         rows = rows.withColumn("_s", s * F.lit(damp))
-        v_new = F.when(_negated(lk, negations), (v + F.col("_s")) * d.NEGATION_SCALAR).otherwise(v + F.col("_s"))
+        never, doubt = _around_never(k)
+        v_new = F.when(never, (v + F.col("_s")) * d.NEVER_SCALAR) \
+            .when(_negated(lk, negations) & ~doubt, (v + F.col("_s")) * d.NEGATION_SCALAR).otherwise(v + F.col("_s"))
         rows = rows.withColumn("_v", F.when(wk.isNotNull() & F.col(f"_in{k}").isNull(), v_new).otherwise(v))
-    v = F.when(F.col("l0").isin(*boosters_up, *boosters_down), F.lit(0.0)).otherwise(F.col("_v"))
+    if idioms:
+        own = [("l2", "l1", "l0"), ("l1", "l0", "f1"), ("l0", "f1", "f2"), ("l1", "l0"), ("l0", "f1")]
+        rows = rows.withColumn("_v", F.coalesce(_phrase_values(idioms, own), F.col("_v")))
+    damped = _phrase_values([(p, 1.0) for p in phrase_dampeners], [("l3", "l2"), ("l2", "l1")]) if phrase_dampeners else F.lit(None)
+    rows = rows.withColumn("_v", F.when(damped.isNull() | (F.col("_v") == 0), F.col("_v"))
+                           .otherwise(F.col("_v") + F.when(F.col("_v") > 0, F.lit(d.BOOST_DECR)).otherwise(F.lit(-d.BOOST_DECR))))
+    least = (F.col("l1") == "least") & F.col("_in1").isNull() & ~F.coalesce(F.col("l2").isin(*d.LEAST_KEEPS), F.lit(False))
+    rows = rows.withColumn("_v", F.when(F.coalesce(least, F.lit(False)), F.col("_v") * d.NEGATION_SCALAR).otherwise(F.col("_v")))
+    opens = _phrase_values([(p, 1.0) for p in phrase_dampeners], [("l0", "f1")]).isNotNull() if phrase_dampeners else F.lit(False)
+    v = F.when(F.col("l0").isin(*boosters_up, *boosters_down) | opens, F.lit(0.0)).otherwise(F.col("_v"))
     but = F.col("_but")
     factor = (F.when(but == 0, F.lit(1.0)).when(F.col("_pos") + 1 < but, F.lit(d.BUT_BEFORE))
               .when(F.col("_pos") + 1 > but, F.lit(d.BUT_AFTER)).otherwise(F.lit(1.0)))

@@ -123,7 +123,7 @@ def lexicon_scores_cte(src: str, id_col: str, text_col: str, name: str = "scores
     xids = ", ".join(f"x.{c}" for c in ids)
     join_on = " AND ".join(f"sm.{c} = x.{c}" for c in ids)
     up, down, neg = in_list(d.BOOSTERS_UP), in_list(d.BOOSTERS_DOWN), in_list(d.NEGATIONS)
-    mods = in_list(list(d.BOOSTERS_UP) + list(d.BOOSTERS_DOWN) + list(d.NEGATIONS))
+    mods = in_list(list(d.BOOSTERS_UP) + list(d.BOOSTERS_DOWN) + list(d.NEGATIONS) + ["least"])
     cc = f", {carry}" if carry else ""
     ccx = "".join(f", x.{c.strip()}" for c in carry.split(",")) if carry else ""
     parts = [f"""{name}_lex AS (SELECT lower(token) AS t, max(valence)::DOUBLE AS v FROM lexicon GROUP BY 1)""",
@@ -138,7 +138,8 @@ def lexicon_scores_cte(src: str, id_col: str, text_col: str, name: str = "scores
              f"""{name}_it AS (
   SELECT {xids}, (x.ncaps > 0 AND x.ncaps < len(x.w)) AS capdiff, x.but, CAST(u.i - 1 AS INTEGER) AS wpos,
          u.wd AS w0, CASE WHEN u.i > 1 THEN x.w[u.i - 1] END AS w1,
-         CASE WHEN u.i > 2 THEN x.w[u.i - 2] END AS w2, CASE WHEN u.i > 3 THEN x.w[u.i - 3] END AS w3
+         CASE WHEN u.i > 2 THEN x.w[u.i - 2] END AS w2, CASE WHEN u.i > 3 THEN x.w[u.i - 3] END AS w3,
+         lower(x.w[u.i + 1]) AS f1, lower(x.w[u.i + 2]) AS f2
   FROM {name}_w2 x, unnest(x.w) WITH ORDINALITY AS u(wd, i))""",
              f"""{name}_j AS (
   SELECT it.*, lower(w1) AS l1, lower(w2) AS l2, lower(w3) AS l3, lx.v AS v0,
@@ -158,13 +159,27 @@ def lexicon_scores_cte(src: str, id_col: str, text_col: str, name: str = "scores
              f"(CASE WHEN v > 0 THEN {s} + {d.CAPS_INCR} ELSE {s} - {d.CAPS_INCR} END) ELSE {s} END)")
         parts.append(f"""{name}_b{k} AS (SELECT *, CAST({s} AS DOUBLE) * {damp} AS s{k} FROM {prev})""")
         negk = f"(l{k} IN {neg} OR contains(l{k}, 'n''t'))"
-        vnew = f"(CASE WHEN {negk} THEN (v + s{k}) * {d.NEGATION_SCALAR} ELSE v + s{k} END)"
+        between = [f"l{j}" for j in range(1, k)]
+        never, doubt = (" OR ".join(f"coalesce({b} IN {in_list(words)}, false)" for b in between) or "false" for words in (d.NEVER_WORDS, ["doubt"]))
+        vnew = (f"(CASE WHEN l{k} = 'never' AND ({never}) THEN (v + s{k}) * {d.NEVER_SCALAR} "
+                f"WHEN {negk} AND NOT (l{k} = 'without' AND ({doubt})) THEN (v + s{k}) * {d.NEGATION_SCALAR} ELSE v + s{k} END)")
         parts.append(f"""{name}_v{k} AS (
   SELECT * REPLACE (CASE WHEN w{k} IS NOT NULL AND in{k} IS NULL THEN {vnew} ELSE v END AS v) FROM {name}_b{k})""")
         prev = f"{name}_v{k}"
+    idiom = lambda *w: "(SELECT i.v FROM {0}_idioms i WHERE i.p = {1})".format(name, " || ' ' || ".join(w))  # noqa: E731  null if a word is
+    damps = in_list(d.PHRASE_DAMPENERS)
+    values = ", ".join(f"({q(p)}, {float(v)!r}::DOUBLE)" for p, v in d.IDIOMS)
+    parts.append(f"""{name}_idioms AS (SELECT * FROM (VALUES {values}) AS t(p, v))""")
+    parts.append(f"""{name}_v4 AS (SELECT * REPLACE (coalesce({idiom('l2', 'l1', 'l0')}, {idiom('l1', 'l0', 'f1')}, {idiom('l0', 'f1', 'f2')},
+    {idiom('l1', 'l0')}, {idiom('l0', 'f1')}, v) AS v) FROM {prev})""")
+    parts.append(f"""{name}_v5 AS (SELECT * REPLACE (CASE WHEN coalesce(l3 || ' ' || l2 IN {damps}, false) OR coalesce(l2 || ' ' || l1 IN {damps}, false)
+    THEN v + CASE WHEN v > 0 THEN {d.BOOST_DECR} WHEN v < 0 THEN -({d.BOOST_DECR}) ELSE 0 END ELSE v END AS v) FROM {name}_v4)""")
+    parts.append(f"""{name}_v6 AS (SELECT * REPLACE (CASE WHEN l1 = 'least' AND in1 IS NULL AND NOT coalesce(l2 IN {in_list(d.LEAST_KEEPS)}, false)
+    THEN v * {d.NEGATION_SCALAR} ELSE v END AS v) FROM {name}_v5)""")
+    prev = f"{name}_v6"
     boost_all = in_list(list(d.BOOSTERS_UP) + list(d.BOOSTERS_DOWN))
     parts.append(f"""{name}_sum AS (
-  SELECT {id_col}, sum((CASE WHEN l0 IN {boost_all} THEN 0.0 ELSE v END) *
+  SELECT {id_col}, sum((CASE WHEN l0 IN {boost_all} OR coalesce(l0 || ' ' || f1 IN {damps}, false) THEN 0.0 ELSE v END) *
                        (CASE WHEN but = 0 THEN 1.0 WHEN wpos + 1 < but THEN {d.BUT_BEFORE}
                              WHEN wpos + 1 > but THEN {d.BUT_AFTER} ELSE 1.0 END)) AS s
   FROM {prev} GROUP BY {id_col})""")

@@ -102,7 +102,21 @@ def q_aspect_lexicon_counts(spark, sf):
         F.count(F.lit(1)).alias("total"))
 
 
+# openings that hold a phrase rule each; every review is scored under one of them
+PHRASES = ["A bad ass film, kiss of death.", "It was kind of good, kind of bad.", "The least good of all.", "At least good, the very least bad.",
+           "It was never so good.", "Never has this been good, never this bad.", "Without doubt good.", "Without any doubt a bad one.", "A love to die for, yeah right, good."]
+
+
+def q_lexicon_phrases(spark, sf):
+    """V1 on texts that hold phrases: a review's text behind the opening that its id names."""
+    r = common.reviews(spark, sf)
+    opening = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("review_id") % len(PHRASES) + 1).cast("int"))
+    x = r.select("review_id", F.concat(opening, F.lit(" "), F.substring_index("review_text", ".", 1)).alias("review_text"))
+    return lx.lexicon_scores(x, common.lexicon(spark, sf, r))
+
+
 QUERIES = {
+    "lexicon_phrases": q_lexicon_phrases,
     "clean_text": q_clean_text,
     "length_filter": q_length_filter,
     "dense_review_id": q_dense_review_id,
@@ -143,6 +157,8 @@ ORACLE = {
           SELECT (review_id, pos) FROM sentences
           ORDER BY md5(CAST(review_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':{d.SAMPLE_SEED}'), review_id, pos
           LIMIT {SAMPLE_ROWS})""",
+    "lexicon_phrases": f"""WITH {_B}, {_LEX}, ph AS (SELECT review_id, [{', '.join(S.q(p) for p in PHRASES)}][review_id % {len(PHRASES)} + 1] || ' ' || split_part(review_text, '.', 1) AS review_text
+        FROM reviews), {S.lexicon_scores_cte("ph", "review_id", "review_text", name="phs")} SELECT review_id, compound FROM phs""",
     "lexicon_score": f"WITH {_B}, {_LEX}, {_SCORES} SELECT review_id, compound FROM scores",
     "lexicon_label": f"WITH {_B}, {_LEX}, {_SCORES} SELECT review_id, {S.compound_label('compound')} AS vader_label FROM scores",
     "mismatch_flag": f"""WITH {_B}, {_LEX}, {_SCORES} SELECT review_id, sentiment, {S.compound_label('compound')} AS vader_label,

@@ -98,6 +98,13 @@ NEGATIONS = ["not", "no", "never", "none", "nobody", "nothing", "neither", "nor"
              "cannot", "without", "aint", "isnt", "wasnt", "dont", "doesnt", "didnt", "cant",
              "couldnt", "wont", "wouldnt", "shouldnt", "havent", "hasnt", "hadnt", "arent",
              "werent", "rarely", "seldom", "despite"]
+# Phrase rules of the published method: fixed valences of idioms, dampening phrases, and words after "never".
+IDIOMS = [("bad ass", 1.5), ("beating heart", 3.1), ("broken heart", -2.9), ("bus stop", 0.0), ("kiss of death", -1.5),
+          ("the bomb", 3.0), ("to die for", 3.0), ("yeah right", -2.0)]
+PHRASE_DAMPENERS = ["kind of"]
+NEVER_SCALAR = 1.25            # "never so good", "never this good" strengthen
+NEVER_WORDS = ["so", "this"]
+LEAST_KEEPS = ["at", "very"]   # "at least" and "very least" do not negate
 SEED_LEXICON = [
     ("good", 1.9), ("great", 3.1), ("excellent", 2.7), ("amazing", 2.8), ("wonderful", 2.7),
     ("love", 3.2), ("loved", 2.9), ("like", 1.5), ("liked", 1.8), ("best", 3.2), ("fun", 2.3),
