@@ -173,7 +173,7 @@ def lexicon_labels(reviews: DataFrame, lexicon: DataFrame, carry: tuple[str, ...
 def reviews_labeled(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The reviews_labeled table: review_text, label_sentiment, review_id, vader_label, sentiment,
     mismatch. One shuffle join brings the narrow lexicon result back to the texts."""
-    lab = lexicon_labels(reviews, lexicon, carry=()).select("review_id", "vader_label")
+    lab = lexicon_scores(reviews, lexicon).select("review_id", compound_label("compound").alias("vader_label"))
     out = reviews.join(lab, "review_id", "left")
     return out.select("review_text", "label_sentiment", "review_id", "vader_label", "sentiment",
                       (~F.col("sentiment").eqNullSafe(F.col("vader_label"))).alias("mismatch"))

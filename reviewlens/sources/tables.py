@@ -7,6 +7,7 @@ The test data has no movie reviews; these stand-ins are used (see FIXTURES.md):
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,18 +67,27 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "html")
 
 
+def parse_requests(lines: DataFrame, col: str = "value") -> DataFrame:
+    """JSON lines -> (review_id, review_text, malformed). ``malformed`` is the whole line where it is no object of the request's fields and types, and
+    the other two are then null; blank lines are no requests. Works on streams."""
+    parsed = F.from_json(F.col(col), REQUEST_SCHEMA + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    x = lines.where(F.length(F.trim(F.col(col))) > 0).select(F.col(col).alias("line"), parsed.alias("r"))
+    bad = F.col("r._bad").isNotNull() | F.col("r").isNull() | ~F.trim("line").startswith("{")
+    return x.select(*[F.when(~bad, F.col(f"r.{c}")).alias(c) for c in ("review_id", "review_text")], F.when(bad, F.col("line")).alias("malformed"))
+
+
 def read_requests_json(spark: SparkSession, path: str) -> DataFrame:
-    """Analyze requests as JSON lines."""
-    return spark.read.schema(REQUEST_SCHEMA).json(path)
+    """S7 in batch: the requests of JSON-lines files, with their malformed lines."""
+    return parse_requests(spark.read.text(path))
 
 
 def read_final_table(spark: SparkSession, path: str) -> DataFrame:
     """The final aspect table; a clear message when the topic job has not been run."""
     try:
         return spark.read.parquet(path)
-    except Exception as e:  # AnalysisException PATH_NOT_FOUND
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError(
-                f"aspect table not found at {path}: run the topic job (plans.jobs.aspect_job) first"
+                f"aspect table not found at {path}: write it with sources.io.write_parquet(..., partition_by='aspect') first"
             ) from e
         raise
