@@ -1,5 +1,5 @@
-"""Column expressions for review pages (H2-H6). Flat, well-formed blocks only; tag soup goes through
-``operators.crawl.parse_pages_python`` (H10)."""
+"""Column expressions for review pages (H2-H6). Blocks may be nested or left open (``nested_blocks``); other tag soup goes
+through ``operators.crawl.parse_pages_python`` (H10)."""
 
 from __future__ import annotations
 
@@ -38,6 +38,42 @@ def blocks(html: Column, tag: str, cls: str | None) -> Column:
     return F.regexp_extract_all(html, F.lit(element(tag, cls)), 1)
 
 
+def nested_blocks(html: Column, tag: str, cls: str | None) -> Column:
+    """H2 for nested and unclosed elements: the content of every outermost ``<tag class=cls>``, from one fold over the page's start and end tags of this
+    element (and of ul and ol for li). The fold keeps the open elements: an end tag closes the last element of its name and all that were
+    opened in it, an li closes an open li of the same list, what is still open ends with the page. A block ends where its own element closes."""
+    names = f"{tag}|ul|ol" if tag == "li" else tag
+    event = rf"(?is)<(?:/(?:{names})\s*|(?:{names})(?:\s[^>]*)?)>"
+    tags = F.regexp_extract_all(html, F.lit(event), F.lit(0))
+    before = F.slice(F.split(html, event, -1), F.lit(1), F.size(tags))
+    steps = F.zip_with(before, tags, lambda b, t: F.struct(F.length(b).alias("skip"), F.length(t).alias("chars"), t.startswith("</").alias("ends"),
+                                                          F.lower(F.regexp_extract(t, r"^</?([A-Za-z0-9]+)", 1)).alias("name"),
+                                                          (t.rlike(f"(?i){class_attr(cls)}") if cls else F.lit(True)).alias("wanted")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("open"), F.lit(-1).alias("begin"), F.lit(0).alias("base"),
+                    F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
+
+    def step(acc, e):
+        at, size = acc["at"] + e["skip"], F.size(acc["open"])
+        last = F.try_element_at(acc["open"], F.when(size > 0, size))
+        # how many elements stay open when this tag has closed what it closes
+        same = F.array_position(F.reverse(acc["open"]), e["name"]).cast("int")
+        stay = F.when(e["ends"], F.when(same > 0, size - same).otherwise(size)) \
+            .otherwise(F.when((e["name"] == "li") & F.coalesce(last == "li", F.lit(False)), size - 1).otherwise(size))
+        kept = F.slice(acc["open"], F.lit(1), stay)
+        closes = (acc["begin"] >= 0) & (stay <= acc["base"])
+        out = F.when(closes, F.array_append(acc["out"], F.struct(acc["begin"].alias("begin"), at.alias("end")))).otherwise(acc["out"])
+        outside = (acc["begin"] < 0) | closes
+        opens = ~e["ends"] & outside & (e["name"] == tag) & e["wanted"]
+        end = at + e["chars"]
+        return F.struct(end.alias("at"), F.when(e["ends"], kept).otherwise(F.array_append(kept, e["name"])).alias("open"),
+                        F.when(opens, end).when(outside, F.lit(-1)).otherwise(acc["begin"]).alias("begin"),
+                        F.when(opens, stay).otherwise(acc["base"]).alias("base"), out.alias("out"))
+
+    found = F.aggregate(steps, zero, step, lambda acc: F.when(acc["begin"] >= 0, F.array_append(acc["out"], F.struct(
+        acc["begin"].alias("begin"), F.length(html).alias("end")))).otherwise(acc["out"]))
+    return F.transform(found, lambda b: F.substring(html, b["begin"] + 1, b["end"] - b["begin"]))
+
+
 def rating(block: Column, span_cls: str = "rating") -> Column:
     """H3: first class token ``rated-N`` of the rating span -> N / 2.0; no span or no token -> null."""
     cls = F.regexp_extract(block, rf'<span\b[^>]*class="((?:[^"]*\s)?{span_cls}(?:\s[^"]*)?)"', 1)

@@ -31,9 +31,16 @@ class Selectors:
     body_tag: str | None = "div"
     body_cls: str | None = "body-text"
     inline_separator: str = ""
+    nested: bool = True        # blocks may hold elements of their own kind, or be left open
 
 
-STAND_IN = Selectors(block_tag="p", block_cls=None, body_tag=None, body_cls=None)
+# paragraphs do not nest
+STAND_IN = Selectors(block_tag="p", block_cls=None, body_tag=None, body_cls=None, nested=False)
+
+
+def blocks_of(html, sel: Selectors) -> F.Column:
+    """The contents of a page's review blocks."""
+    return (hx.nested_blocks if sel.nested else hx.blocks)(html, sel.block_tag, sel.block_cls)
 
 
 def page_prefix(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int | None = None) -> DataFrame:
@@ -43,7 +50,7 @@ def page_prefix(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int |
     p = pages.where(F.col("page_num") >= 1)
     if max_pages is not None:
         p = p.where(F.col("page_num") <= max_pages)
-    p = p.withColumn("n_blocks", F.size(hx.blocks(F.coalesce("html", F.lit("")), sel.block_tag, sel.block_cls)))
+    p = p.withColumn("n_blocks", F.size(blocks_of(F.coalesce("html", F.lit("")), sel)))
     bad = (F.col("status") != 200) | F.col("html").isNull() | (F.length("html") == 0) | (F.col("n_blocks") == 0)
     seen = materialize(p.select("film_slug", "page_num", bad.alias("bad")), "pages_seen")    # narrow; the html is read again
     follows = seen.select("film_slug", (F.col("page_num") - 1).alias("page_num")).distinct()
@@ -56,7 +63,7 @@ def page_prefix(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int |
 def review_blocks(pages: DataFrame, sel: Selectors = Selectors()) -> DataFrame:
     """H2: one row per review block: (film_slug, page_num, block_pos, block)."""
     return pages.select("film_slug", "page_num",
-                        F.posexplode(hx.blocks(F.col("html"), sel.block_tag, sel.block_cls)).alias("block_pos", "block"))
+                        F.posexplode(blocks_of(F.col("html"), sel)).alias("block_pos", "block"))
 
 
 def extract_fields(blocks: DataFrame, sel: Selectors = Selectors()) -> DataFrame:
@@ -79,7 +86,7 @@ def crawl_report(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int
     """H9: per film and page: blocks found, reviews kept, running total of kept reviews per film."""
     kept = page_prefix(pages, sel, max_pages)
     # counted inside the row: no block leaves its page
-    texts = F.transform(hx.blocks(F.col("html"), sel.block_tag, sel.block_cls), lambda b: hx.review_text(b, sel.body_tag, sel.body_cls, sep=sel.inline_separator))
+    texts = F.transform(blocks_of(F.col("html"), sel), lambda b: hx.review_text(b, sel.body_tag, sel.body_cls, sep=sel.inline_separator))
     x = kept.select("film_slug", "page_num", "n_blocks", F.size(F.filter(texts, lambda t: F.length(t) > 0)).cast("long").alias("n_reviews"))
     return running_sum(materialize(x, "crawl_report"), "film_slug", "page_num", F.col("n_reviews"), "running_reviews")
 
@@ -118,6 +125,10 @@ def _parse_page(html: str, sel: Selectors):
                 return
             if tag == "p" and self.stack and any(t == "p" for t, _ in self.stack):
                 self.handle_endtag("p")   # a new paragraph closes an open one
+            if tag == "li":               # a new item closes an open one of the same list
+                lists = [t for t, _ in self.stack if t in ("ul", "ol", "li")]
+                if lists and lists[-1] == "li":
+                    self.handle_endtag("li")
             self.stack.append((tag, cls))
             if self.cur is None and tag == sel.block_tag and (sel.block_cls is None or sel.block_cls in cls):
                 self.cur = {"paras": [], "rating": None, "date": None, "likes": None, "_p": None, "_f": None}

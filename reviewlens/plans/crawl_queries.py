@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crawl as cr
 from ..sources import dictionaries as d
+from ..session import scratch_path
 from ..sources import tables
 from . import sqlparts as S
 
@@ -54,7 +55,42 @@ def q_html_parse(spark, sf):
     return cr.parse_pages_python(_pages(spark, sf), SEL)
 
 
+def q_page_files(spark, sf):
+    """The pages written as raw files in several character sets, read back as text: every third as UTF-16 with a mark, of the others those that
+    latin-1 can hold in every second case as latin-1."""
+    pages = tables.table(spark, sf, "pages").where(F.length("html") > 0)
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE"))
+    narrow = (F.col("page_id") % 2 == 0) & ~F.col("html").rlike("[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]")
+    content = F.when(F.col("page_id") % 3 == 0, wide).when(narrow, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    path = scratch_path(spark, "page_files")
+    tables.write_page_files(pages.select(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.lit(200).alias("status"), "page_id", content.alias("content")), path)
+    return tables.read_page_files(spark, path).select("host", "status", "page_id", F.length("html").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+def review_pages(spark, sf):
+    """Pages in the review site's layout, one review each, made of the documents: rating, date and likes follow the id; the body holds a nested list of items
+    and a spoiler notice; every seventh block is left open."""
+    d_ = tables.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    i = F.col("doc_id")
+    word = F.regexp_replace(F.substring_index("text", " ", 3), "[^A-Za-z ]", "")
+    rating_ = F.when(i % 12 == 11, "rating").otherwise(F.concat(F.lit("rating rated-"), (i % 12).cast("string")))
+    date = F.when(i % 4 == 0, F.concat(F.lit("<span class='x'></span><span class=\"_nobr\">Day "), i.cast("string"), F.lit("</span>"))) \
+        .when(i % 4 == 1, F.concat(F.lit("<time>Time "), i.cast("string"), F.lit("</time>"))).otherwise("")
+    likes = F.when(i % 5 == 0, "").when(i % 5 == 1, '<p class="like-link-target">Like</p>') \
+        .otherwise(F.concat(F.lit('<p class="like-link-target">'), F.format_number(i * 37, 0), F.lit(" likes</p>")))
+    body = F.concat(F.lit('<div class="body-text"><p class="contains-spoilers-warning">spoilers</p><p>'), word, F.lit("</p><p>b</p></div><ul><li>one</li><li>two</ul>"))
+    html = F.concat(F.lit('<ul><li class="film-detail"><span class="'), rating_, F.lit('"></span>'), date, body, likes, F.when(i % 7 == 0, "").otherwise("</li>"), F.lit("</ul>"))
+    return d_.select(F.concat(F.lit("film-"), i.cast("string")).alias("film_slug"), F.lit(1).alias("page_num"), F.lit(200).alias("status"), html.alias("html"))
+
+
+def q_review_fields(spark, sf):
+    """H2 to H6 with values: nested blocks of the review site's layout."""
+    return cr.extract_fields(cr.review_blocks(review_pages(spark, sf)))
+
+
 QUERIES = {
+    "page_files": q_page_files,
+    "review_fields": q_review_fields,
     "page_prefix": q_page_prefix,
     "review_blocks": q_review_blocks,
     "rating_decode": _field("rating"),
@@ -113,6 +149,13 @@ fields AS (SELECT film_slug, page_num, block_pos,
    FROM blk)"""
 
 ORACLE = {
+    "page_files": """SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, 200 AS status, page_id, CAST(length(html) AS INTEGER) AS n_chars, md5(html) AS html_md5
+        FROM pages WHERE length(html) > 0""",
+    # the fields follow the id, whatever the markup
+    "review_fields": """SELECT 'film-' || doc_id AS film_slug, 1 AS page_num, 0 AS block_pos, CASE WHEN doc_id % 12 <> 11 THEN (doc_id % 12) / 2.0::DOUBLE END AS rating,
+        trim(trim(regexp_replace(array_to_string(string_split(coalesce(text, ''), ' ')[1:3], ' '), '[^A-Za-z ]', '', 'g')) || ' b') AS review_text,
+        CASE doc_id % 4 WHEN 0 THEN 'Day ' || doc_id WHEN 1 THEN 'Time ' || doc_id END AS date,
+        CAST(CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE doc_id * 37 END AS INTEGER) AS likes FROM documents""",
     "page_prefix": f"WITH {CRAWL} SELECT film_slug, page_num, n_blocks FROM kept",
     "review_blocks": f"WITH {CRAWL} SELECT film_slug, page_num, block_pos, length(block) AS block_chars FROM blk",
     "rating_decode": f"WITH {CRAWL} SELECT film_slug, page_num, block_pos, rating FROM fields",

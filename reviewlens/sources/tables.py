@@ -8,7 +8,7 @@ The test data has no movie reviews; these stand-ins are used (see FIXTURES.md):
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,43 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "html")
 
 
+# windows-1252 where it differs from latin-1: the characters at bytes 0x80 to 0x9F that are assigned (fixed values)
+_CP1252 = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž",
+           0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
+
+
+def decode_page(content) -> Column:
+    """The text of a page's bytes. A byte-order mark decides; else UTF-8 if the bytes are valid UTF-8 and no other character set is declared in the first 1,024
+    bytes; else windows-1252, which is also what pages declare as latin-1. Bytes that windows-1252 leaves open stay control characters."""
+    mark = F.hex(F.substring(content, 1, 3))
+    latin = F.decode(content, "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(F.substring(latin, 1, 1024), r"""(?i)<meta[^>]{0,200}charset=["']?([A-Za-z0-9_-]+)""", 1))
+    as_utf8 = content.cast("string")
+    single = F.translate(latin, "".join(map(chr, _CP1252)), "".join(_CP1252.values()))
+    rest = F.octet_length(content)
+    return F.when(mark == "EFBBBF", F.make_valid_utf8(F.substring(content, 4, rest).cast("string"))) \
+        .when(mark.startswith("FFFE"), F.decode(F.substring(content, 3, rest), "UTF-16LE")) \
+        .when(mark.startswith("FEFF"), F.decode(F.substring(content, 3, rest), "UTF-16BE")) \
+        .when(F.is_valid_utf8(as_utf8) & ((declared == "") | declared.isin("utf-8", "utf8", "us-ascii", "ascii")), as_utf8) \
+        .otherwise(single)
+
+
+def write_page_files(pages: DataFrame, path: str) -> None:
+    """Raw pages (host, status, page_id, content) as files ``host=/status=/page_id=/part``, each ended by a line feed (Spark's row end)."""
+    pages.select("host", "status", "page_id", F.col("content").cast("string").alias("value")) \
+        .write.partitionBy("host", "status", "page_id").text(path)
+
+
+def read_page_files(spark: SparkSession, path: str, final_newline: bool = True) -> DataFrame:
+    """S5 for raw files: (host, status, page_id, html) of every file under ``host=/status=/page_id=`` folders. ``final_newline``: the last byte is the line
+    feed that ``write_page_files`` adds."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    part = lambda name: F.url_decode(F.replace(F.regexp_extract("path", f"/{name}=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    content = F.substring("content", F.lit(1), F.octet_length("content") - 1) if final_newline else F.col("content")
+    return files.select(part("host").alias("host"), part("status").cast("int").alias("status"), part("page_id").cast("long").alias("page_id"),
+                        decode_page(content).alias("html"))
+
+
 def parse_requests(lines: DataFrame, col: str = "value") -> DataFrame:
     """JSON lines -> (review_id, review_text, malformed). ``malformed`` is the whole line where it is no object of the request's fields and types, and
     the other two are then null; blank lines are no requests. Works on streams."""

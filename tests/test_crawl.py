@@ -72,3 +72,53 @@ def test_write_scraped(spark, tmp_path):
     assert cr.write_scraped(df, str(tmp_path / "csv"), "csv") == 1
     with pytest.warns(UserWarning):
         assert cr.write_scraped(df.where("1 = 0"), str(tmp_path / "none")) == 0
+
+
+NESTED = [
+    ("closed", "<ul>" + block() + block() + "</ul>"),
+    ("inner list", "<ul>" + block(text="<p>a</p><ul><li>x</li><li class='film-detail'>y</li></ul><p>b</p>") + block() + "</ul>"),
+    ("inner block", "<ul>" + block(text="<p>a</p><ul>" + block(text="<p>in</p>") + "</ul>") + "</ul>"),
+    ("items left open", '<ul><li class="film-detail"><div class="body-text"><p>one</p></div><li class="film-detail"><div class="body-text"><p>two</p></div></ul><p>after</p>'),
+    ("inner items left open", "<ul>" + block(text="<p>a</p><ol><li>x<li>y</ol>") + block() + "</ul>"),
+    ("page ends", '<UL><LI CLASS="film-detail"><div class="body-text"><p>cut off</p></div>'),
+    ("stray ends", "</li></ul><ul></li>" + block() + "</li></ul>"),
+    ("other items", "<ul><li>no</li>" + block() + "<li class='x film-detailed'>no</li></ul>"),
+    ("none", "<p>nothing</p>"), ("empty", ""), ("null", None),
+]
+
+
+def test_nested_and_open_blocks_agree_with_the_parser(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlens.functions import html as hx
+
+    pages = spark.createDataFrame([(n, 1, 200, h) for n, h in NESTED], "film_slug string, page_num int, status int, html string")
+    ours = {}
+    for r in cr.extract_fields(cr.review_blocks(pages)).collect():
+        ours.setdefault(r["film_slug"], []).append((r["block_pos"], r["review_text"]))
+    parser = {}
+    for r in cr.parse_pages_python(pages).collect():
+        parser.setdefault(r["film_slug"], []).append((r["block_pos"], r["review_text"]))
+    sizes = {n: len(ours.get(n, [])) for n, _ in NESTED}
+    assert sizes == {n: len(parser.get(n, [])) for n, _ in NESTED}
+    assert sizes == {"closed": 2, "inner list": 2, "inner block": 1, "items left open": 2, "inner items left open": 2, "page ends": 1, "stray ends": 1, "other items": 1,
+                     "none": 0, "empty": 0, "null": 0}
+    for n in ("closed", "items left open", "page ends", "stray ends", "other items"):
+        assert sorted(ours[n]) == sorted(parser[n]), n
+    divs = spark.createDataFrame([("x<div>a<div>b</div>c</div>d<div class='k'>e</div>",), ("<div>open <div>deep</div>",), (None,)], "h string")
+    assert [r[0] for r in divs.select(hx.nested_blocks(F.col("h"), "div", None)).collect()] == [["a<div>b</div>c", "e"], ["open <div>deep</div>"], None]
+
+
+def test_page_files_in_many_character_sets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from reviewlens.sources import tables
+
+    texts = {1: ("prix 5 € – été", "utf-8"), 2: ("plain", "ascii"), 3: ("mark ü", "utf-8-sig"), 4: ("wide ü 中 🙂", "utf-16"), 5: ("old “quotes” € é", "cp1252"),
+             6: ('<meta charset="iso-8859-1">é', "latin-1"), 7: ("", "utf-8"), 8: ("big ü 中", "utf-16-be"), 9: ('<META http-equiv="x" content="text/html; charset=windows-1252">Ã©', "cp1252")}
+    rows = [(i, b"\xfe\xff" + t.encode(c) if c == "utf-16-be" else t.encode(c)) for i, (t, c) in texts.items()]
+    df = spark.createDataFrame(rows, "page_id long, content binary").select(F.lit("h:80 a+b").alias("host"), F.lit(200).alias("status"), "page_id", "content")
+    tables.write_page_files(df, str(tmp_path / "p"))
+    got = tables.read_page_files(spark, str(tmp_path / "p")).collect()
+    assert {r["page_id"]: r["html"] for r in got} == {i: t for i, (t, _) in texts.items()}
+    assert {(r["host"], r["status"]) for r in got} == {("h:80 a+b", 200)}
