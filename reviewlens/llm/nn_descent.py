@@ -32,6 +32,7 @@ class Params:
     still: float = 0.01       # share of new list entries below which the rounds end
     beam: int = 400           # nodes a search keeps
     block: int = 6000         # nodes of a block
+    group: int = 64           # searches that one task advances together
     rerank: int = 40          # nodes of a search scored in double precision
     seed: int = 11
 
@@ -323,7 +324,7 @@ def search(vectors: DataFrame, state: DataFrame, lists: DataFrame, queries: Data
     adjacent = lists.where("need < 0").select("block", F.col("lists").alias("near"))
     index = stage(vectors.join(state.select("block", "lists"), "block").join(adjacent, "block"), "ann-index")
     n = queries.count()
-    groups = max(1, -(-n // 2000))
+    groups = max(1, -(-n // p.group))
     ask_schema = "block int, grp int, query binary, vec binary, far binary, asked binary, node binary"
     hold_schema = "grp int, query binary, vec binary, sizes binary, node binary, dist binary, seen_sizes binary, seen binary"
     ask_pa = pa.schema([("block", pa.int32()), ("grp", pa.int32())] + [(c, pa.binary()) for c in ("query", "vec", "far", "asked", "node")])
