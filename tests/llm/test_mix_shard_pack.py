@@ -51,6 +51,41 @@ def test_mix_takes_what_is_due(spark, edges, nothing):
     assert wm.mix(nothing, F.lit(1.0), F.lit(1).cast("long")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["no id", "one id", "copies", "copies without id"])
+def test_mix_with_null_and_repeated_ids(spark, kind):
+    """Half of a source's rows share an id, or the whole row: still within a document of the target. Their columns carry the names of helpers."""
+    rows = []
+    for i in range(3000):
+        half = i % 2 == 0
+        text = "word " * 10 + ("same" if half and kind.startswith("copies") else f"t{i}")
+        rows.append((None if half and kind.endswith("no id") or half and kind.endswith("without id") else 7 if half else i, text, "ab"[i % 3 == 0], i, "r", "k", 1.5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, uid int, row string, _mix_size string, key double").repartition(5)
+    out = wm.mix(docs, wm.quality_weight(F.col("text")), wm.word_count(F.col("text"))).cache()
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    assert sorted(r["uid"] for r in out.collect()) == list(range(3000)) and out.where("row = 'r' and _mix_size = 'k' and key = 1.5").count() == 3000
+    for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 11, (kind, r)
+    again = wm.mix(docs.repartition(9), wm.quality_weight(F.col("text")), wm.word_count(F.col("text")))
+    what = lambda d: sorted((r["doc_id"] or 0, r["text"], r["source"], r["copies"]) for r in d.collect())
+    assert what(out) == what(again)       # whatever copies are taken, the rows taken are the same
+
+
+def test_quality_weight(spark):
+    texts = ["plain words of a text here " * 9, "a a a a a a a a a a a a a a a a a a a a a a", "### 123 $$ %% && 99 ##", "short", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    w = {r.i: r.w for r in df.select("i", wm.quality_weight(F.col("t")).alias("w")).collect()}
+    distinct = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    good = spark.createDataFrame([(distinct,)], "t string").select(wm.quality_weight(F.col("t"))).first()[0]
+    assert good > w[0] > w[1] > w[2] and w[3] < good and w[4] == w[5] and all(0 < x <= 1 for x in [good, *w.values()])
+
+
+def test_mix_handles_very_long_texts_and_ties(spark):
+    rows = [(1, "x " * 400_000, "a", None, None)] + [(i, "one two", "a", None, None) for i in range(2, 40)] + [(40, "y", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    out = {r["doc_id"]: r for r in wm.mix(docs, F.lit(1.0), wm.word_count(F.col("text"))).collect()}
+    assert out[1]["size"] == 400_000 and len(out) == 40 and all(r["taken"] <= 3 * r["size"] for r in out.values())
+
+
 def test_lookup_table():
     table = maglev.lookup_table(["a", "b", "c"], 101)
     plain, taken = [None] * 101, {s: 0 for s in "abc"}
