@@ -75,6 +75,20 @@ def space_led(text: str) -> list[str] | None:
     return None if not words[0] or not words[-1] or "" in words or words[0][0] == "\n" or words[-1][-1] == "\n" else words
 
 
+def known_words(tokenizer_path: str) -> WordIds:
+    """This Python worker's table for a tokenizer: Spark gives a worker one task after the other, and what one has learned the next one needs. The
+    table is bounded (``most``) and only saves work, so a new worker begins with an empty one."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("best_two_fit_worker", types.ModuleType("best_two_fit_worker")).__dict__.setdefault("tables", {})
+    if tokenizer_path not in held:
+        from tokenizers import Tokenizer
+
+        held[tokenizer_path] = WordIds(Tokenizer.from_file(tokenizer_path))
+    return held[tokenizer_path]
+
+
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32); pieces of ``capacity`` ids, the first one shorter if need be."""
     n = len(ids) // 4
@@ -90,9 +104,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        known = WordIds(Tokenizer.from_file(tokenizer_path))
+        known = known_words(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             for i in range(0, b.num_rows, 500):
