@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,37 +34,39 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # tokens and pieces
 # ---------------------------------------------------------------------------------------------
 
-class WordIds(dict):
+class WordIds:
     """Token ids (little-endian uint32 bytes) of space-led words, looked up once per word.
 
     A byte-level BPE splits a text into words before merging. A single space between two characters that are not white space
     always begins such a word, so a text cut there has the same ids piece by piece."""
 
     def __init__(self, tokenizer, most: int = 800_000):
-        super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.tokenizer, self.most, self.table = tokenizer, most, {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words) -> None:
         """Letters with one mark behind them are two words to the tokenizer: the letters are learned, the mark is added."""
-        if len(self) > self.most:
-            self.clear()
-        new = [w for w in words if w not in self]
+        table = self.table
+        if len(table) > self.most:
+            table.clear()
+        new = [w for w in words if w not in table]
         marked = [w for w in new if w[-1] in MARKS and w[:-1].isalpha()]
         plain = {w for w in new if w[-1] not in MARKS or not w[:-1].isalpha()}
-        plain.update(w for w in (x[:-1] for x in marked) if w not in self)
-        self.update(zip(plain, self.ids_of([" " + w for w in plain])))
+        plain.update(w for w in (x[:-1] for x in marked) if w not in table)
+        table.update(zip(plain, self.ids_of([" " + w for w in plain])))
         if marked:
             mark = dict(zip(MARKS, self.ids_of(list(MARKS))))
-            self.update((w, self[w[:-1]] + mark[w[-1]]) for w in marked)
+            table.update((w, table[w[:-1]] + mark[w[-1]]) for w in marked)
 
     def texts_ids(self, texts: list[str]) -> list[bytes]:
         split = [space_led(t) for t in texts]
-        self.learn(set().union(*(w[1:] for w in split if w)))
+        later = [w[1:] if w else [] for w in split]
+        self.learn(set().union(*later))
         heads = self.ids_of([w[0] if w else t for t, w in zip(texts, split)])
-        return [h + b"".join(map(self.__getitem__, w[1:])) if w else h for h, w in zip(heads, split)]
+        # itemgetter gives one item bare, so single words are looked up on their own
+        return [h + (b"".join(itemgetter(*w)(self.table)) if len(w) > 1 else self.table[w[0]] if w else b"") for h, w in zip(heads, later)]
 
 
 def space_led(text: str) -> list[str] | None:
@@ -71,8 +74,9 @@ def space_led(text: str) -> list[str] | None:
     if "\n " in text or " \n" in text or any(c in text for c in ASCII_SPACES) or not text.isascii() and any(c in text for c in OTHER_SPACES):
         if SPACES_MEET.search(text):
             return None
-    words = text.split(" ")
-    return None if not words[0] or not words[-1] or "" in words or words[0][0] == "\n" or words[-1][-1] == "\n" else words
+    if not text or "  " in text or text[0] in " \n" or text[-1] in " \n":
+        return None
+    return text.split(" ")
 
 
 def known_words(tokenizer_path: str) -> WordIds:
