@@ -152,12 +152,10 @@ def q_encode_fixed(spark, sf):
 
 
 def q_udf_score(spark, sf):
-    r = common.reviews(spark, sf)
-    lex = common.lexicon(spark, sf, r)
-    lex = lex.checkpoint()
-    if lex.count() > 2_000_000:
-        raise ValueError("lexicon too large to ship to Python workers")
-    table = {row["token"]: float(row["valence"]) for row in lex.collect()}
+    """A user's Python model over all reviews. The model is a word table of at most ``max_features`` terms: the fitted weights in whole thousandths."""
+    r, sp, _, train_counts, vocab, _ = _fitted(spark, sf)
+    coef, _ = md.linear_weights(train_counts, sp.where(F.col("split") == "train").select("review_id", "sentiment"), vocab)
+    table = {row["term"]: row["w"] for row in coef.select("term", F.round(F.col("coef") * 1000).alias("w")).collect()}
     return md.score_with_model(r, "review_text", lambda: md.LexiconSumModel(table))
 
 
@@ -282,6 +280,9 @@ enc_ids AS (SELECT x.review_id, x.i, coalesce(v.token_id, {d.UNK_ID}) AS id FROM
 enc_agg AS (SELECT review_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i) AS ids, count(*) AS n FROM enc_ids GROUP BY review_id)"""
 
 ORACLE = {
+    "udf_score": f"""WITH {S.BASE}, {FIT}, {NB}, ut AS (SELECT r.review_id, u.w FROM reviews r, unnest({S.word_tokens('r.review_text')}) AS u(w)),
+        us AS (SELECT ut.review_id, sum(round(c.coef * 1000)) AS s FROM ut JOIN coef c ON c.term = ut.w GROUP BY ut.review_id)
+        SELECT r.review_id, CASE WHEN coalesce(us.s, 0) > 0 THEN 'positive' ELSE 'negative' END AS p FROM reviews r LEFT JOIN us USING (review_id)""",
     "stratified_split": f"WITH {S.BASE}, {SPLIT} SELECT review_id, sentiment, split FROM sp",
     "tokenize": f"""WITH {S.BASE}, t AS (SELECT review_id, list_filter({S.word_tokens('review_text')}, lambda x: x NOT IN {_STOP}) AS t FROM reviews)
         SELECT review_id, u.token, count(*) AS n FROM t, unnest(t.t) AS u(token) GROUP BY ALL""",
