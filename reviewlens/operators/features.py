@@ -1,8 +1,8 @@
 """Split, tokens, vocabulary, TF-IDF, class weights, fixed-length encoding.
 
 Long form (one row per document and term) is the primary representation: it is what the SQL oracle
-checks and it scales as ordinary joins and aggregates. ``to_ml_vectors`` turns it into ML sparse
-vectors for the classifier.
+checks and it scales as ordinary joins and aggregates. ``model.feature_pipeline`` makes ML sparse vectors of
+the same terms for the classifier.
 """
 
 from __future__ import annotations

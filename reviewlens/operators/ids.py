@@ -31,7 +31,7 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
 def dense_id(df: DataFrame, key: str, out: str, key_source: DataFrame | None = None,
              rows_per_bucket: int = 2_000_000, broadcast_max: int = 4_000_000) -> DataFrame:
     """Append ``out`` = position of the row in ``key`` order (0-based, dense). ``key`` must be
-    unique and numeric.
+    unique, numeric and not null (rows with a null key are lost in the join back, repeated keys multiply).
 
     Only the key column is numbered: range buckets from ``approxQuantile`` (balanced even when key
     values are skewed), a window per bucket, and a running offset per bucket (one small row per
