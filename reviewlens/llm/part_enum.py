@@ -1,17 +1,20 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document is the set of its distinct word n-grams. Sets of nearly equal size meet at a point; two sets similar
-enough differ in at most k elements there. The feature domain is dealt into k + 1 + m partitions, so such sets agree
-on at least m + 1 partitions: what a set holds of one partition is one signature, and similar sets share one.
-
-Empty partitions make no signature. A set with more than m of them is dealt again by another seed; two such
-sets that agree on empty partitions alone are both dealt again, and after the last seed empty partitions sign too. No link
-is lost.
-
-Equal sets are one node from the start. A group of equal signatures proposes its members to its smallest one; the links
-found join most members, and only groups whose members still have different labels are looked at again: small groups by their
-pairs, large ones by clusters cut into blocks of one size class, compared through element histograms, whose distance never exceeds the
-sets' own. Every candidate is checked on the sets themselves.
+A document is the set of its distinct word n-grams. Sets of nearly equal size meet at a point; two sets similar enough differ in at
+most k elements there. The feature domain is dealt into first-level partitions, each of these into second-level ones, and the subsets
+of second-level partitions are enumerated: what a set holds of one subset is one signature. From k = ``TWO_LEVELS`` on there are
+k // 2 + 1 + m first-level partitions of three: on at least m + 1 of them similar sets differ in one element at most, so two of the
+three agree, and the three subsets of two are enumerated. For smaller k a first-level partition is whole, and there are k + 1 + m.
+
+Empty subsets make no signature. A set with empty subsets in more than m first-level partitions is dealt again by another seed; two
+such sets that agree on empty subsets alone are both dealt again, and after the last seed empty subsets sign too. No link is lost.
+Where k is 0 only equal sets link, and equal sets are one node from the start.
+
+A set proposes itself to one other set a round: of the smallest sets of its groups of equal signatures to the one it shares most
+signatures with. Later rounds take groups whose members still have different labels, and propose to a member of the group's smallest
+label. When rounds find little more, the groups still apart are looked at whole: small ones by their pairs, large ones by
+clusters cut into blocks of one size class, compared through element histograms, whose distance never exceeds the sets' own.
+Every candidate is checked on the sets themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ U = np.uint64
 BINS = 256            # histogram bins
 BITS = 1 << 23        # bits of the hashed id filter, 1 MB: the bound of what is sent to every task
 SMALL = 32            # members of a group whose pairs are looked at one by one
+TWO_LEVELS = 8        # differences from which subsets of second-level partitions are enumerated
+ROUNDS = 4            # rounds of one proposal a set at most; what they leave open is looked at whole
 
 
 @dataclass(frozen=True)
@@ -96,37 +101,60 @@ class Points:
             low.append(low[-1] * join.of // join.least + 1)
         self.join, self.low = join, np.array(low, np.int64)
 
-    def band(self, n: int) -> int:
-        return int(np.searchsorted(self.low, n, side="right")) - 1
+    def bands(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.low, sizes, side="right") - 1
 
-    def shape(self, p: int) -> tuple[int, int]:
-        """(partitions, empty ones allowed)"""
+    def shape(self, p: int) -> tuple[int, int, int]:
+        """(first-level partitions, second-level ones of each, first-level ones allowed to hold empty subsets); no partitions where k is 0"""
         top, j = int(self.low[p + 1]) - 1, self.join
         k = (j.of - j.least) * (top + top * j.of // j.least) // (j.of + j.least)
-        m = -(-(k + 1) // 10) + 1 if k else 0
-        return k + 1 + m, m
-
-
-def signatures(s: np.ndarray, points: Points) -> np.ndarray:
-    if not len(s):
-        return np.zeros(0, U)
-    own, out, mixed = points.band(len(s)), [], mix(s)
-    for p in (own - 1, own):
-        if p < 0:
-            continue
-        n, allowed = points.shape(p)
-        for seed in range(points.join.seeds):
-            part = mix(s + mix(np.array([seed * 1_000_003 + p], U))) % U(n)
-            o = np.argsort(part, kind="stable")
-            ps = part[o]
-            first = np.nonzero(np.r_[True, ps[1:] != ps[:-1]])[0]
-            base = mix(np.array([p * 64 + seed + 1], U))
-            out.append(mix(np.add.reduceat(mixed[o], first) + mix(base + ps[first])))
-            if n - len(first) <= allowed:
-                break
-            if seed == points.join.seeds - 1:
-                out.append(mix(mix(base + np.setdiff1d(np.arange(n, dtype=U), ps[first]))))
-    return np.concatenate(out)
+        if k >= TWO_LEVELS:
+            m = -(-k // 40) + 1
+            return k // 2 + 1 + m, 3, m
+        m = -(-(k + 1) // 10) + 1
+        return (k + 1 + m, 1, m) if k else (0, 1, 0)
+
+
+def signatures(sets: list[np.ndarray], points: Points) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of non-empty sets, and for each the position of its set in the list. Every (set, point) is one deal; the
+    contents of all partitions of all deals are summed in one pass."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if not len(size):
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    band = points.bands(size)
+    owner, p = np.tile(np.arange(len(sets)), 2), np.concatenate([band - 1, band])
+    owner, p = owner[p >= 0], p[p >= 0]
+    at, back = np.unique(p, return_inverse=True)
+    first, width, allowed = np.array([points.shape(int(x)) for x in at], np.int64).reshape(-1, 3)[back].T
+    open_ = first > 0
+    found, whose = [], []
+    for seed in range(points.join.seeds):
+        owner, p, first, width, allowed = (x[open_] for x in (owner, p, first, width, allowed))
+        if not len(owner):
+            break
+        s, deal = np.concatenate([sets[i] for i in owner]), np.repeat(np.arange(len(owner)), size[owner])
+        parts = first * width
+        start = np.cumsum(parts) - parts
+        h = mix(s + mix(U(seed * 1_000_003) + p.astype(U))[deal]) >> U(32)
+        to = start[deal] + (h * parts.astype(U)[deal] >> U(32)).astype(np.int64)
+        held = np.zeros(int(parts.sum()), U)
+        np.add.at(held, to, mix(s))
+        count = np.bincount(to, minlength=len(held))
+        part = np.repeat(np.arange(len(owner)), parts)
+        held = mix(held + mix(mix((p * 64 + seed + 1).astype(U))[part] + (np.arange(len(held)) - start[part]).astype(U)))
+        whole = width[part] == 1
+        three, n = held[~whole].reshape(-1, 3), count[~whole].reshape(-1, 3)
+        pair, empty = mix(three + three[:, [1, 2, 0]]), n + n[:, [1, 2, 0]] == 0
+        of = part[~whole][::3]
+        lacking = np.bincount(part[whole & (count == 0)], minlength=len(owner)) + np.bincount(of[empty.any(1)], minlength=len(owner))
+        open_ = lacking > allowed
+        sig, of = np.concatenate([held[whole], pair.ravel()]), np.concatenate([part[whole], np.repeat(of, 3)])
+        signs = ~np.concatenate([count[whole] == 0, empty.ravel()])
+        if seed == points.join.seeds - 1:
+            signs |= open_[of]
+        found.append(sig[signs])
+        whose.append(owner[of[signs]])
+    return (np.concatenate(found), np.concatenate(whose)) if found else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -167,20 +195,35 @@ def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
 
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sigs", pa.binary())])
 
+    def signed(texts, known, points):
+        """Signatures and keys of the distinct sets of a batch, by slices of about a million shingles."""
+        seen, some, keys, n, out = set(), [], [], 0, []
+
+        def sign():
+            sig, whose = signatures(some, points)
+            out.append((sig, np.array(keys, np.int64)[whose]))
+
+        for t in texts:
+            s = shingles(t, join.words, known)
+            k = short_key(set_key(s)) if len(s) else None
+            if k is None or k in seen:
+                continue
+            seen.add(k)
+            some.append(s)
+            keys.append(k)
+            n += len(s)
+            if n > 1_000_000:
+                sign()
+                some, keys, n = [], [], 0
+        sign()
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def run(batches):
         known, points = WordHashes(), Points(join)
         for b in batches:
-            by_set = {}
-            for t in b.column(0).to_pylist():
-                s = shingles(t, join.words, known)
-                if len(s):
-                    k = short_key(set_key(s))
-                    if k not in by_set:
-                        by_set[k] = signatures(s, points)
-            if not by_set:
+            sig, key = signed(b.column(0).to_pylist(), known, points)
+            if not len(sig):
                 continue
-            sig = np.concatenate(list(by_set.values()))
-            key = np.repeat(np.fromiter(by_set, np.int64, len(by_set)), [len(v) for v in by_set.values()])
             o = np.lexsort((key, sig))
             sig, key = sig[o], key[o]
             first = np.nonzero(np.r_[True, sig[1:] != sig[:-1]])[0]
@@ -201,25 +244,27 @@ def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, sigs binary")
 
 
-PROPOSED, MEMBER, HOT, HOT_LEADER = 0, 1, 2, 3
+PROPOSED, MEMBER, HOT, MORE, HOT_LEADER = 0, 1, 2, 3, 4
 
 
 def groups(blocks: DataFrame) -> DataFrame:
-    """(kind, sig, a, b) of signatures on two or more sets: pairs proposed to the group's smallest set; members of groups of
-    3 to ``SMALL``; members and smallest set of larger ones."""
+    """(kind, sig, a, b, n, two) of signatures on two or more sets: sets b that share n signatures of a bucket with a, the smallest set
+    of their groups, two of them groups of no more than these two; members of groups of 3 to ``SMALL``; members and smallest set
+    of larger ones; members of larger ones that overflowed in their batch."""
     import pyarrow as pa
 
-    names = ["kind", "sig", "a", "b"]
+    names = ["kind", "sig", "a", "b", "n", "two"]
 
-    def out(kind, sig, a, b):
-        n = len(a)
-        return pa.Table.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(sig.view(np.int64)), pa.array(a), pa.array(b)], names=names)
+    def out(kind, sig, a, b, n=None, two=None):
+        none = np.zeros(len(a), np.int64)
+        return pa.Table.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(sig.view(np.int64)), pa.array(a), pa.array(b),
+                                     pa.array(none if n is None else n), pa.array(none if two is None else two)], names=names)
 
     def run(table):
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
         sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), U)
         if table.column("bucket")[0].as_py() < 0:
-            return out(HOT, sig, key, key)
+            return out(MORE, sig, key, key)
         o = np.lexsort((key, sig))
         sig, key = sig[o], key[o]
         once = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
@@ -228,14 +273,24 @@ def groups(blocks: DataFrame) -> DataFrame:
         size = np.diff(np.r_[first, len(sig)])
         sizes, leader = np.repeat(size, size), np.repeat(key[first], size)
         pair = (sizes > 1) & (key != leader)
-        pairs = np.unique(np.stack([leader[pair], key[pair]], 1), axis=0) if pair.any() else np.zeros((0, 2), np.int64)
+        a, b, two = leader[pair], key[pair], sizes[pair] == 2
+        o = np.lexsort((b, a))
+        a, b, two = a[o], b[o], two[o].astype(np.int64)
+        cut = np.nonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[0] if len(a) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[cut, len(a)])
         small, hot = (sizes > 2) & (sizes <= SMALL), sizes > SMALL
         top = first[size > SMALL]
-        return pa.concat_tables([out(PROPOSED, np.zeros(len(pairs), U), np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])),
+        return pa.concat_tables([out(PROPOSED, np.zeros(len(cut), U), a[cut], b[cut], n, np.add.reduceat(two, cut) if len(cut) else n),
                                  out(MEMBER, sig[small], key[small], key[small]), out(HOT, sig[hot], key[hot], key[hot]),
                                  out(HOT_LEADER, sig[top], key[top], key[top])])
 
-    return blocks.groupBy("bucket").applyInArrow(run, "kind int, sig long, a long, b long")
+    return blocks.groupBy("bucket").applyInArrow(run, "kind int, sig long, a long, b long, n long, two long")
+
+
+def one_proposal(votes: DataFrame) -> DataFrame:
+    """Of the votes (a, b, n) the one pair of every b with most votes, as ordered pairs."""
+    return votes.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")) \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -355,34 +410,48 @@ def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -
     buckets = max(32, classes.count() // 4000)
     g = stage(groups(signature_blocks(d, join, buckets)), "groups")
     leaders = g.where(F.col("kind") == HOT_LEADER).select("sig", F.col("a").alias("leader"))
-    hot = g.where(F.col("kind") == HOT).select("sig", F.col("a").alias("short")).distinct()
-    proposed = g.where(F.col("kind") == PROPOSED).select("a", "b").unionByName(
-        hot.join(leaders, "sig").select(F.col("leader").alias("a"), F.col("short").alias("b"))).where("a <> b") \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    proposed = stage(proposed, "proposed")
-    wanted = proposed.select(F.col("a").alias("short")).union(proposed.select("b")).distinct()
+    more = g.where(F.col("kind") == MORE).select("sig", F.col("a").alias("short")).distinct()
+    shared = g.where(F.col("kind") == PROPOSED)
+    members = g.where(F.col("kind").isin(MEMBER, HOT, MORE)).select("sig", F.col("a").alias("short"), (F.col("kind") != MEMBER).alias("large"))
+    wanted = g.where(F.col("kind").isin(PROPOSED, MORE)).select(F.explode(F.array("a", "b")).alias("short")).distinct()
     ids = classes.join(wanted, "short", "left_semi").select(F.col("rep").alias("id"))
     found = stage(candidate_sets(d, ids, join).dropDuplicates(["key"]), "candidates")
-    first = stage(links(near_histograms(proposed, found, join), found, join), "links")
-    labels = components(first)
+
+    # rounds of one proposal a set
+    votes = shared.select("a", "b", "n").unionByName(more.join(leaders, "sig").select(F.col("leader").alias("a"), F.col("short").alias("b"), F.lit(1).cast("long").alias("n")))
+    tried = linked = None
+    for _ in range(ROUNDS):
+        proposed = stage(one_proposal(votes), "proposed")
+        new = stage(links(near_histograms(proposed, found, join), found, join), "links")
+        tried = proposed if tried is None else tried.unionByName(proposed)
+        linked = new if linked is None else linked.unionByName(new)
+        labels = components(linked)
+        named = members.join(labels.withColumnRenamed("node", "short"), "short", "left").withColumn("label", F.coalesce("label", "short"))
+        apart = named.groupBy("sig").agg(F.min(F.struct("label", "short")).alias("head"), F.max("label").alias("hi")).where("head.label <> hi").select("sig", "head")
+        still = stage(named.join(apart, "sig"), "apart")
+        if new.count() * 20 < proposed.count():
+            break
+        ahead = still.where("label <> head.label").select(F.col("head.short").alias("a"), F.col("short").alias("b"), F.lit(1).cast("long").alias("n"))
+        ordered = ahead.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b", "n")
+        votes = ordered.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b", "n")
 
     # groups whose members are not all joined yet
-    small = g.where(F.col("kind") == MEMBER).select("sig", F.col("a").alias("short"))
-    named = lambda m: m.join(labels.withColumnRenamed("node", "short"), "short", "left").withColumn("label", F.coalesce("label", "short"))
-    apart = lambda m: m.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    small = named(small)
-    small = small.join(apart(small), "sig", "left_semi").join(classes.select("short", "n"), "short")
+    name = lambda m, c: m.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left") \
+        .withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    twos = name(name(shared.where("two > 0").select("a", "b").distinct(), "a"), "b").where("label_a <> label_b").select("a", "b")
+    small = still.where("not large").select("sig", "short", "label").join(classes.select("short", "n"), "short")
     x, y = small.alias("x"), small.alias("y")
     sizes = (F.col("x.n") * join.of >= F.col("y.n") * join.least) & (F.col("y.n") * join.of >= F.col("x.n") * join.least)
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.short") < F.col("y.short")) & (F.col("x.label") != F.col("y.label")) & sizes) \
-        .select(F.col("x.short").alias("a"), F.col("y.short").alias("b")).distinct()    # groups of at most SMALL
-    hot = named(hot)
-    hot = stage(hot.join(apart(hot), "sig", "left_semi"), "hot")
-    second = near_histograms(pairs.join(proposed, ["a", "b"], "left_anti"), found, join)
+        .select(F.col("x.short").alias("a"), F.col("y.short").alias("b"))    # groups of at most SMALL
+    pairs = pairs.unionByName(twos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    second = near_histograms(pairs.join(tried, ["a", "b"], "left_anti"), found, join)
+    hot = still.where("large").select("sig", "short", "label")
     if hot.limit(1).count():
-        clusters = components(hot.join(leaders, "sig").select(F.col("leader").alias("a"), F.col("short").alias("b")))
-        members = hot.select("short", "label").distinct().join(clusters.select(F.col("node").alias("short"), F.col("label").alias("cluster")), "short")
-        second = second.unionByName(block_pairs(members, found, join)).distinct()
+        clusters = components(hot.join(leaders, "sig").select(F.col("leader").alias("a"), F.col("short").alias("b")).distinct())
+        part = hot.select("short", "label").distinct().join(clusters.select(F.col("node").alias("short"), F.col("label").alias("cluster")), "short")
+        second = second.unionByName(block_pairs(part, found, join)).distinct()
+    first = linked
     every = first.unionByName(stage(links(stage(second, "near"), found, join), "links")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     joined = components(every)
     top = classes.select(F.col("key").alias("node"), "rep").join(joined, "node")
