@@ -11,8 +11,8 @@ such sets that agree on empty subsets alone are both dealt again, and after the
 Where k is 0 only equal sets link, and equal sets are one node from the start.
 
 A set proposes itself to one other set a round: of the smallest sets of its groups of equal signatures to the one it shares most
-signatures with. Later rounds take groups whose members still have different labels, and propose to a member of the group's smallest
-label. When rounds find little more, the groups still apart are looked at whole: small ones by their pairs, large ones by
+signatures with. Later rounds take groups whose members still have different labels, and propose to the member that is in most
+groups, likely the closest to the others. When rounds find little more, the groups still apart are looked at whole: small ones by their pairs, large ones by
 clusters cut into blocks of one size class, compared through element histograms, whose distance never exceeds the sets' own.
 Every candidate is checked on the sets themselves.
 """
@@ -35,7 +35,7 @@ BINS = 256            # histogram bins
 BITS = 1 << 23        # bits of the hashed id filter, 1 MB: the bound of what is sent to every task
 SMALL = 32            # members of a group whose pairs are looked at one by one
 TWO_LEVELS = 8        # differences from which subsets of second-level partitions are enumerated
-ROUNDS = 4            # rounds of one proposal a set at most; what they leave open is looked at whole
+ROUNDS = 8            # rounds of one proposal a set at most; what they leave open is looked at whole
 
 
 @dataclass(frozen=True)
@@ -413,6 +413,8 @@ def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -
     more = g.where(F.col("kind") == MORE).select("sig", F.col("a").alias("short")).distinct()
     shared = g.where(F.col("kind") == PROPOSED)
     members = g.where(F.col("kind").isin(MEMBER, HOT, MORE)).select("sig", F.col("a").alias("short"), (F.col("kind") != MEMBER).alias("large"))
+    degrees = members.groupBy("short").agg(F.count(F.lit(1)).alias("degree"))
+    members = stage(members.join(degrees, "short"), "members")
     wanted = g.where(F.col("kind").isin(PROPOSED, MORE)).select(F.explode(F.array("a", "b")).alias("short")).distinct()
     ids = classes.join(wanted, "short", "left_semi").select(F.col("rep").alias("id"))
     found = stage(candidate_sets(d, ids, join).dropDuplicates(["key"]), "candidates")
@@ -427,9 +429,10 @@ def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -
         linked = new if linked is None else linked.unionByName(new)
         labels = components(linked)
         named = members.join(labels.withColumnRenamed("node", "short"), "short", "left").withColumn("label", F.coalesce("label", "short"))
-        apart = named.groupBy("sig").agg(F.min(F.struct("label", "short")).alias("head"), F.max("label").alias("hi")).where("head.label <> hi").select("sig", "head")
+        apart = named.groupBy("sig").agg(F.max(F.struct("degree", "short", "label")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")) \
+            .where("lo <> hi").select("sig", "head")
         still = stage(named.join(apart, "sig"), "apart")
-        if new.count() * 20 < proposed.count():
+        if new.count() * 100 < proposed.count():
             break
         ahead = still.where("label <> head.label").select(F.col("head.short").alias("a"), F.col("short").alias("b"), F.lit(1).cast("long").alias("n"))
         ordered = ahead.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b", "n")
