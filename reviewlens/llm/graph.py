@@ -26,3 +26,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", F.col("now").alias("label"))
         if not changed:
             return labels
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components (node, label) after ``edges`` (a, b) are added to the graph that ``labels`` describes (None: no edges yet). Only
+    the new edges take part, between the labels of their ends: an edge that an earlier call has seen is not read again. A node
+    not yet in ``labels`` is its own label."""
+    if labels is None:
+        return components(edges)
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias("known"))
+        edges = edges.join(known, end, "left").withColumn(end, F.coalesce("known", end)).drop("known")
+    step = components(edges)
+    moved = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left") \
+        .select("node", F.coalesce("to", "label").alias("label"))
+    return stage(moved.unionByName(step.join(labels, "node", "left_anti").select("node", "label")), "labels")

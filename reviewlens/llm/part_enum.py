@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_by_value, stage
-from .graph import components
+from .graph import components, merged
 
 ship_by_value(__name__)
 
@@ -401,6 +401,16 @@ def block_pairs(members: DataFrame, found: DataFrame, join: Join, block: int = 5
     return rows.groupBy("cluster", "c1", "i1", "c2", "i2").applyInArrow(run, "a long, b long").distinct()
 
 
+def nodes_of(found: DataFrame) -> DataFrame:
+    """Links as edges between (short, key): the whole key tells sets apart, the short one names them in the rounds."""
+    return found.select(*[F.struct(F.col(c).alias("short"), F.col(f"key_{c}").alias("key")).alias(c) for c in ("a", "b")])
+
+
+def by_short(labels: DataFrame) -> DataFrame:
+    """(short, label) of the linked sets, once each."""
+    return labels.groupBy(F.col("node.short").alias("short")).agg(F.min("label.short").alias("label"))
+
+
 def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, key, component (its smallest id, null for an empty set) and chosen. Of the
     rows of a component, those of the smallest id are chosen, of these the ones of the smallest key; a null id comes last."""
@@ -421,14 +431,13 @@ def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -
 
     # rounds of one proposal a set
     votes = shared.select("a", "b", "n").unionByName(more.join(leaders, "sig").select(F.col("leader").alias("a"), F.col("short").alias("b"), F.lit(1).cast("long").alias("n")))
-    tried = linked = None
+    tried = labels = None
     for _ in range(ROUNDS):
         proposed = stage(one_proposal(votes), "proposed")
         new = stage(links(near_histograms(proposed, found, join), found, join), "links")
         tried = proposed if tried is None else tried.unionByName(proposed)
-        linked = new if linked is None else linked.unionByName(new)
-        labels = components(linked)
-        named = members.join(labels.withColumnRenamed("node", "short"), "short", "left").withColumn("label", F.coalesce("label", "short"))
+        labels = merged(labels, nodes_of(new))
+        named = members.join(by_short(labels), "short", "left").withColumn("label", F.coalesce("label", "short"))
         apart = named.groupBy("sig").agg(F.max(F.struct("degree", "short", "label")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")) \
             .where("lo <> hi").select("sig", "head")
         still = stage(named.join(apart, "sig"), "apart")
@@ -439,7 +448,7 @@ def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -
         votes = ordered.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b", "n")
 
     # groups whose members are not all joined yet
-    name = lambda m, c: m.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left") \
+    name = lambda m, c: m.join(by_short(labels).toDF(c, f"label_{c}"), c, "left") \
         .withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
     twos = name(name(shared.where("two > 0").select("a", "b").distinct(), "a"), "b").where("label_a <> label_b").select("a", "b")
     small = still.where("not large").select("sig", "short", "label").join(classes.select("short", "n"), "short")
@@ -454,9 +463,8 @@ def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -
         clusters = components(hot.join(leaders, "sig").select(F.col("leader").alias("a"), F.col("short").alias("b")).distinct())
         part = hot.select("short", "label").distinct().join(clusters.select(F.col("node").alias("short"), F.col("label").alias("cluster")), "short")
         second = second.unionByName(block_pairs(part, found, join)).distinct()
-    first = linked
-    every = first.unionByName(stage(links(stage(second, "near"), found, join), "links")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    joined = components(every)
+    labels = merged(labels, nodes_of(stage(links(stage(second, "near"), found, join), "links")))
+    joined = labels.select(F.col("node.key").alias("node"), F.col("label.key").alias("label"))
     top = classes.select(F.col("key").alias("node"), "rep").join(joined, "node")
     smallest = top.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("node").alias("key"))).alias("least"))
     per_key = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").join(smallest, "label", "left") \
