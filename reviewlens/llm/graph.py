@@ -1,4 +1,4 @@
-"""Connected components of a link table, by rounds of smallest labels and label jumps over stage tables."""
+"""Connected components of a link table, by rounds of contraction over stage tables."""
 
 from __future__ import annotations
 
@@ -8,23 +8,39 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the smallest node reachable, for every node that has an edge. The edges are read once from a stage
-    table; each round takes the smallest label next to a node and then that label's own label, so long chains
-    shorten quickly. Only a count of changes reaches the driver."""
-    one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(one.select(F.inline(ways)).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-                   .select("node", F.least("node", "near").alias("label")), "labels")
+def roots(step: DataFrame) -> DataFrame:
+    """(node, label) with every label followed to its own label until nothing changes; the paths halve each time. Every label is a node."""
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = stage(step.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("now")), "labels")
-        changed = new.where("now <> label").limit(1).count()
-        labels = new.select("node", F.col("now").alias("label"))
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = stage(step.join(jump, "label").select("node", "label", "far"), "labels")
+        changed = new.where("far <> label").limit(1).count()
+        step = new.select("node", F.col("far").alias("label"))
         if not changed:
+            return step
+
+
+def moved(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """The labels after the labels themselves moved by ``step``."""
+    to = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): the smallest node reachable, for every node that has an edge. In a round every node goes to the smallest node next to
+    it, and on to where that one goes; the edges then join these labels, and the ones inside a label are gone. At least half of the
+    nodes that still have edges go in a round, so the edge table shrinks. Only the questions whether something changed reach the driver."""
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    now = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(*ordered).distinct(), "edges")
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))
+    labels = None
+    while True:
+        step = now.select(F.inline(ways)).groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label"))
+        step = roots(stage(step, "steps"))
+        labels = step if labels is None else stage(moved(labels, step), "labels")
+        for end in ("a", "b"):
+            now = now.join(step.select(F.col("node").alias(end), F.col("label").alias("to")), end).withColumn(end, F.col("to")).drop("to")
+        now = stage(now.where("a <> b").select(*ordered).distinct(), "edges")
+        if not now.limit(1).count():
             return labels
 
 
@@ -38,6 +54,4 @@ def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
         known = labels.select(F.col("node").alias(end), F.col("label").alias("known"))
         edges = edges.join(known, end, "left").withColumn(end, F.coalesce("known", end)).drop("known")
     step = components(edges)
-    moved = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left") \
-        .select("node", F.coalesce("to", "label").alias("label"))
-    return stage(moved.unionByName(step.join(labels, "node", "left_anti").select("node", "label")), "labels")
+    return stage(moved(labels, step).unionByName(step.join(labels, "node", "left_anti").select("node", "label")), "labels")

@@ -117,6 +117,22 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 110: 100, 120: 100}
 
 
+def test_merged_components(spark):
+    """A random graph whose edges come in two parts, against plain label propagation."""
+    rng = np.random.default_rng(5)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 150, (110, 2))]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    labels = graph.merged(graph.merged(None, frame(edges[:60])), frame(edges[60:]))
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert {r["node"]: r["label"] for r in labels.collect()} == want
+    assert graph.merged(labels, frame([])).count() == len(want)
+    assert graph.components(frame([])).count() == 0
+
+
 def plain_dedup(docs, n):
     out = {}
     starts = {}
