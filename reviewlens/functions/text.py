@@ -76,9 +76,8 @@ def bigrams(tokens: Column) -> Column:
 def lexicon_words(c) -> Column:
     """Whitespace items with surrounding punctuation stripped when more than two characters remain."""
     items = F.filter(F.split(_c(c), rf"(?U){WS}+"), lambda x: F.length(x) > 0)
-    return F.transform(items, lambda w: F.when(
-        F.length(F.regexp_replace(w, rf"^{PUNCT}+|{PUNCT}+$", "")) <= 2, w
-    ).otherwise(F.regexp_replace(w, rf"^{PUNCT}+|{PUNCT}+$", "")))
+    both = F.transform(items, lambda w: F.struct(w.alias("w"), F.regexp_replace(w, rf"^{PUNCT}+|{PUNCT}+$", "").alias("t")))
+    return F.transform(both, lambda x: F.when(F.length(x["t"]) <= 2, x["w"]).otherwise(x["t"]))     # trimmed once a word
 
 
 def is_upper(c) -> Column:

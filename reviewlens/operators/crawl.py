@@ -57,7 +57,8 @@ def page_prefix(pages: DataFrame, sel: Selectors = Selectors(), max_pages: int |
     last = seen.join(follows, ["film_slug", "page_num"], "left_anti").groupBy("film_slug").agg((F.min("page_num") + 1).alias("_gap"))
     stop = seen.groupBy("film_slug").agg(F.min("page_num").alias("_first"), F.min(F.when(F.col("bad"), F.col("page_num"))).alias("_bad")) \
         .join(last, "film_slug").select("film_slug", F.when(F.col("_first") > 1, F.lit(1)).otherwise(F.least("_gap", "_bad")).alias("_stop"))
-    return p.join(stop, "film_slug").where(F.col("page_num") < F.col("_stop")).drop("_stop")
+    kept = seen.join(stop, "film_slug").where(F.col("page_num") < F.col("_stop")).select("film_slug", "page_num")
+    return p.join(kept, ["film_slug", "page_num"], "left_semi")      # by page: a film with many pages is not one key for the html
 
 
 def review_blocks(pages: DataFrame, sel: Selectors = Selectors()) -> DataFrame:

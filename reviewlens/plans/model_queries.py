@@ -27,7 +27,7 @@ def _fitted(spark, sf, r=None):
     """Split, per-document term counts, vocabulary and idf fitted on the training part."""
     r, sp = _split(spark, sf, r)
     sp = tt.materialize(sp, "split")
-    counts = fe.term_counts(sp)
+    counts = tt.materialize(fe.term_counts(sp), "term_counts")     # read by the vocabulary, the weights and the scores
     train_ids = sp.where(F.col("split") == "train").select("review_id")
     train_counts = counts.join(train_ids, "review_id", "left_semi")
     vocab = fe.fit_vocabulary(train_counts)

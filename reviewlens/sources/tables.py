@@ -56,12 +56,13 @@ def raw_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 stand-in: the URL's host is the film slug, and a film's pages are numbered from 1 by page_id, so every page
-    is kept. Status 200 when the html is non-empty, else 404."""
+    is kept. Status 200 when the html is non-empty, else 404. ``page_id`` is unique; only hosts and ids are numbered, and the html joins last."""
     from ..operators.ids import running_sum
 
     pages = table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("film_slug"), "page_id", "html")
-    p = running_sum(pages, "film_slug", "page_id", F.lit(1), "page_num")
+    numbers = running_sum(pages.select("film_slug", "page_id"), "film_slug", "page_id", F.lit(1), "page_num").select("page_id", "page_num")
+    p = pages.join(numbers, "page_id")
     return p.select("film_slug", F.col("page_num").cast("int").alias("page_num"),
                     F.when(F.length(F.coalesce("html", F.lit(""))) > 0, F.lit(200)).otherwise(F.lit(404)).alias("status"),
                     "html")
