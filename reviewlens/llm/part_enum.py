@@ -34,6 +34,8 @@ U = np.uint64
 BINS = 256            # histogram bins
 BITS = 1 << 23        # bits of the hashed id filter, 1 MB: the bound of what is sent to every task
 SMALL = 32            # members of a group whose pairs are looked at one by one
+WORDS = 200_000       # words whose hashes a task keeps at hand; hashed again when dropped
+SLICE = 200_000       # shingles whose signatures are made at once: bounds the arrays a task holds
 TWO_LEVELS = 8        # differences from which subsets of second-level partitions are enumerated
 ROUNDS = 8            # rounds of one proposal a set at most; what they leave open is looked at whole
 
@@ -71,7 +73,7 @@ def shingles(text: str | None, n: int, known: WordHashes) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, U)
-    if len(known) > 1_000_000:
+    if len(known) > WORDS:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), U, len(words))
     n = min(n, len(words))
@@ -196,7 +198,7 @@ def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sigs", pa.binary())])
 
     def signed(texts, known, points):
-        """Signatures and keys of the distinct sets of a batch, by slices of about a million shingles."""
+        """Signatures and keys of the distinct sets of a batch, by slices of about ``SLICE`` shingles."""
         seen, some, keys, n, out = set(), [], [], 0, []
 
         def sign():
@@ -212,7 +214,7 @@ def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
             some.append(s)
             keys.append(k)
             n += len(s)
-            if n > 1_000_000:
+            if n > SLICE:
                 sign()
                 some, keys, n = [], [], 0
         sign()
