@@ -36,6 +36,8 @@ BITS = 1 << 23        # bits of the hashed id filter, 1 MB: the bound of what is
 SMALL = 32            # members of a group whose pairs are looked at one by one
 WORDS = 200_000       # words whose hashes a task keeps at hand; hashed again when dropped
 SLICE = 200_000       # shingles whose signatures are made at once: bounds the arrays a task holds
+SIGNED = 1_000_000    # signatures sorted into buckets at once, likewise
+TEXTS = 500           # texts of an Arrow batch that are Python strings at once
 TWO_LEVELS = 8        # differences from which subsets of second-level partitions are enumerated
 ROUNDS = 8            # rounds of one proposal a set at most; what they leave open is looked at whole
 
@@ -179,7 +181,7 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
         known = WordHashes()
         for b in batches:
             n, keys = [], []
-            for t in b.column(1).to_pylist():
+            for t in (t for i in range(0, b.num_rows, TEXTS) for t in b.column(1).slice(i, TEXTS).to_pylist()):
                 s = shingles(t, join.words, known)
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
@@ -190,40 +192,43 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
-    """Signatures of each Arrow batch by bucket: (bucket, keys and counts of the sets, their signatures). Equal sets of a batch sign
-    once. A signature on over ``SMALL`` + 1 sets of a batch goes to its bucket for the first ``SMALL`` + 1 only, enough to make
-    its group a large one; the others travel in a row of their own under a negative bucket."""
+    """Signatures of each Arrow batch by bucket: (bucket, keys and counts of the sets, their signatures), in parts of about ``SIGNED``.
+    Equal sets of a batch sign once. A signature on over ``SMALL`` + 1 sets of a part goes to its bucket for the first ``SMALL`` + 1
+    only, enough to make its group a large one; the others travel in a row of their own under a negative bucket."""
     import pyarrow as pa
 
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sigs", pa.binary())])
 
     def signed(texts, known, points):
-        """Signatures and keys of the distinct sets of a batch, by slices of about ``SLICE`` shingles."""
+        """Signatures and keys of the distinct sets of a batch, by slices of about ``SLICE`` shingles, in parts of about ``SIGNED``."""
         seen, some, keys, n, out = set(), [], [], 0, []
 
         def sign():
             sig, whose = signatures(some, points)
             out.append((sig, np.array(keys, np.int64)[whose]))
 
-        for t in texts:
-            s = shingles(t, join.words, known)
-            k = short_key(set_key(s)) if len(s) else None
-            if k is None or k in seen:
-                continue
-            seen.add(k)
-            some.append(s)
-            keys.append(k)
-            n += len(s)
-            if n > SLICE:
-                sign()
-                some, keys, n = [], [], 0
+        for i in range(0, len(texts), TEXTS):
+            for t in texts.slice(i, TEXTS).to_pylist():
+                s = shingles(t, join.words, known)
+                k = short_key(set_key(s)) if len(s) else None
+                if k is None or k in seen:
+                    continue
+                seen.add(k)
+                some.append(s)
+                keys.append(k)
+                n += len(s)
+                if n > SLICE:
+                    sign()
+                    some, keys, n = [], [], 0
+                    if sum(len(sig) for sig, _ in out) > SIGNED:
+                        yield tuple(np.concatenate(x) for x in zip(*out))
+                        out = []
         sign()
-        return tuple(np.concatenate(x) for x in zip(*out))
+        yield tuple(np.concatenate(x) for x in zip(*out))
 
     def run(batches):
         known, points = WordHashes(), Points(join)
-        for b in batches:
-            sig, key = signed(b.column(0).to_pylist(), known, points)
+        for sig, key in (part for b in batches for part in signed(b.column(0), known, points)):
             if not len(sig):
                 continue
             o = np.lexsort((key, sig))
