@@ -62,3 +62,22 @@ def test_guarded_patterns_equal_the_patterns_alone(spark):
     assert x.where("not (c <=> c2) or not (s <=> s2)").collect() == []
     plan = _odd(spark).select(tx.sentence_array("text"))._jdf.queryExecution().analyzed().toString()
     assert "Contains(lower(text" in plan
+
+
+def test_broadcast_values_need_no_package(spark, monkeypatch):
+    """Broadcast values are plainly pickled: a class of this package in them would have to be importable by the Python workers."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    from reviewlens.operators import analyze as an
+
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or broadcast(self, value))
+    df = spark.createDataFrame([(1, "great fun film"), (2, "boring film")], "review_id long, review_text string")
+    docs = fe.document_tokens(df, {})
+    vocab = fe.top_terms(fe.term_totals(docs), 1, 9)
+    assert fe.vocabulary_counts(docs, vocab).count() > 0
+    idf = fe.fit_idf(vocab, 2)
+    assert an.LinearTextModel(idf, idf.select("term", F.col("idf").alias("coef")), 0.0).predict(df, "review_id", "review_text").count() == 2
+    assert len(sent) == 2 and not any(b"reviewlens" in x for x in sent)
