@@ -81,3 +81,11 @@ def test_broadcast_values_need_no_package(spark, monkeypatch):
     idf = fe.fit_idf(vocab, 2)
     assert an.LinearTextModel(idf, idf.select("term", F.col("idf").alias("coef")), 0.0).predict(df, "review_id", "review_text").count() == 2
     assert len(sent) == 2 and not any(b"reviewlens" in x for x in sent)
+
+
+def test_keywords_of_documents_without_a_language(spark):
+    from reviewlens.plans import topic_queries as tq
+
+    s = spark.createDataFrame([("s1", "en", "film plot"), ("s1", None, "film lost"), ("s2", "de", "kino film")], "source string, lang string, sentence string")
+    got = tq._corpus_keywords(s, tp.class_word_counts(s, ["source", "lang"])).collect()
+    assert sorted((r["aspect"], r["aspect_order"], r["keyword"]) for r in got) == [("lang:de", 0, "film"), ("lang:de", 0, "kino"), ("lang:en", 1, "film"), ("lang:en", 1, "plot")]
