@@ -21,6 +21,12 @@ def ship_by_value(module_name: str) -> None:
 ship_by_value(__name__)
 
 
+def forget_tables() -> None:
+    """Drop what tasks of other operators have kept in this Python worker for their next task: Spark gives a worker tasks of all stages, and the
+    kept tables of one would stand in the memory of the next. They only save work."""
+    sys.modules.pop("best_two_fit_worker", None)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents")
 

@@ -17,7 +17,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, ship_by_value
+from .common import forget_tables, labelled_sample, ship_by_value
 
 ship_by_value(__name__)
 
@@ -25,6 +25,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 N_FEATURES = 12
 CONTENT = 1
+TEXTS = 100           # texts of an Arrow batch that are Python strings at once
 
 
 @dataclass(frozen=True)
@@ -203,7 +204,8 @@ def label_documents(docs: DataFrame, crf: Crf, rules: Rules = Rules(), id_col: s
 
     def run(batches):
         for b in batches:
-            out = [judge(t, crf, rules) for t in b.column(1).to_pylist()]
+            parts = (b.column(1).slice(i, TEXTS).to_pylist() for i in range(0, b.num_rows, TEXTS))
+            out = [judge(t, crf, rules) for part in parts for t in part]
             cols = [b.column(0), *(pa.array(c) for c in zip(*out))] if out else [b.column(0)] + [pa.array([]) for _ in names[1:]]
             types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, types)], names=names)
@@ -221,8 +223,10 @@ def keep_documents(docs: DataFrame, crf: Crf, rules: Rules = Rules(), text_col:
     import pyarrow as pa
 
     def run(batches):
+        forget_tables()
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            yield b.filter(pa.array([judge(t, crf, rules)[6] for t in texts], pa.bool_()))
+            texts = b.column(b.schema.get_field_index(text_col))
+            parts = (texts.slice(i, TEXTS).to_pylist() for i in range(0, b.num_rows, TEXTS))
+            yield b.filter(pa.array([judge(t, crf, rules)[6] for part in parts for t in part], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

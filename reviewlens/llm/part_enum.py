@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stage
+from .common import forget_tables, ship_by_value, stage
 from .graph import components, merged
 
 ship_by_value(__name__)
@@ -34,10 +34,12 @@ U = np.uint64
 BINS = 256            # histogram bins
 BITS = 1 << 23        # bits of the hashed id filter, 1 MB: the bound of what is sent to every task
 SMALL = 32            # members of a group whose pairs are looked at one by one
-WORDS = 200_000       # words whose hashes a task keeps at hand; hashed again when dropped
-SLICE = 200_000       # shingles whose signatures are made at once: bounds the arrays a task holds
-SIGNED = 1_000_000    # signatures sorted into buckets at once, likewise
-TEXTS = 500           # texts of an Arrow batch that are Python strings at once
+WORDS = 100_000       # words whose hashes a task keeps at hand; hashed again when dropped
+SLICE = 50_000        # shingles whose signatures are made at once: bounds the arrays a task holds
+SIGNED = 500_000      # signatures sorted into buckets at once, likewise
+TEXTS = 100           # texts of an Arrow batch that are Python strings at once
+SETS = 2_000          # sets whose signatures a bucket gets, about: bounds a bucket's arrays
+GROUPED = 100_000     # signatures of a bucket grouped at once, about
 TWO_LEVELS = 8        # differences from which subsets of second-level partitions are enumerated
 ROUNDS = 8            # rounds of one proposal a set at most; what they leave open is looked at whole
 
@@ -178,6 +180,7 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        forget_tables()
         known = WordHashes()
         for b in batches:
             n, keys = [], []
@@ -227,6 +230,7 @@ def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
         yield tuple(np.concatenate(x) for x in zip(*out))
 
     def run(batches):
+        forget_tables()
         known, points = WordHashes(), Points(join)
         for sig, key in (part for b in batches for part in signed(b.column(0), known, points)):
             if not len(sig):
@@ -267,11 +271,15 @@ def groups(blocks: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(sig.view(np.int64)), pa.array(a), pa.array(b),
                                      pa.array(none if n is None else n), pa.array(none if two is None else two)], names=names)
 
-    def run(table):
-        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
-        sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), U)
-        if table.column("bucket")[0].as_py() < 0:
-            return out(MORE, sig, key, key)
+    def voted(a, b, n, two):
+        """The votes by pair, added up."""
+        o = np.lexsort((b, a))
+        a, b, n, two = a[o], b[o], n[o], two[o]
+        cut = np.nonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[0] if len(a) else np.zeros(0, np.int64)
+        return (a[cut], b[cut], np.add.reduceat(n, cut), np.add.reduceat(two, cut)) if len(a) else (a, b, n, two)
+
+    def part(sig, key):
+        """The votes and the members of some signatures, all places of a signature among them."""
         o = np.lexsort((key, sig))
         sig, key = sig[o], key[o]
         once = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
@@ -280,16 +288,25 @@ def groups(blocks: DataFrame) -> DataFrame:
         size = np.diff(np.r_[first, len(sig)])
         sizes, leader = np.repeat(size, size), np.repeat(key[first], size)
         pair = (sizes > 1) & (key != leader)
-        a, b, two = leader[pair], key[pair], sizes[pair] == 2
-        o = np.lexsort((b, a))
-        a, b, two = a[o], b[o], two[o].astype(np.int64)
-        cut = np.nonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[0] if len(a) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[cut, len(a)])
         small, hot = (sizes > 2) & (sizes <= SMALL), sizes > SMALL
         top = first[size > SMALL]
-        return pa.concat_tables([out(PROPOSED, np.zeros(len(cut), U), a[cut], b[cut], n, np.add.reduceat(two, cut) if len(cut) else n),
-                                 out(MEMBER, sig[small], key[small], key[small]), out(HOT, sig[hot], key[hot], key[hot]),
-                                 out(HOT_LEADER, sig[top], key[top], key[top])])
+        votes = voted(leader[pair], key[pair], np.ones(int(pair.sum()), np.int64), (sizes[pair] == 2).astype(np.int64))
+        return votes, [out(kind, sig[at], key[at], key[at]) for kind, at in ((MEMBER, small), (HOT, hot), (HOT_LEADER, top))]
+
+    def grouped(sig, key):
+        """A bucket's signatures by parts of about ``GROUPED``: its own bits deal a signature to a part."""
+        parts = U(max(1, len(sig) // GROUPED))
+        of = (mix(sig) % parts).astype(np.int32)
+        votes, members = zip(*(part(sig[of == i], key[of == i]) for i in range(int(parts))))
+        a, b, n, two = voted(*(np.concatenate(x) for x in zip(*votes)))
+        return pa.concat_tables([out(PROPOSED, np.zeros(len(a), U), a, b, n, two), *(t for m in members for t in m)])
+
+    def run(table):
+        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+        sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), U)
+        if table.column("bucket")[0].as_py() < 0:
+            return out(MORE, sig, key, key)
+        return grouped(sig, key)
 
     return blocks.groupBy("bucket").applyInArrow(run, "kind int, sig long, a long, b long, n long, two long")
 
@@ -323,9 +340,9 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
         for b in batches:
             h = b.column(0).to_numpy()
             texts = b.column(1).filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
-            for i in range(0, len(texts), 500):
+            for i in range(0, len(texts), TEXTS):
                 rows = []
-                for t in texts.slice(i, 500).to_pylist():
+                for t in texts.slice(i, TEXTS).to_pylist():
                     s = shingles(t, join.words, known)
                     if len(s):
                         k = set_key(s)
@@ -424,7 +441,7 @@ def components_by_key(docs: DataFrame, join: Join, id_col: str, text_col: str) -
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     nodes = stage(sets(d, join), "sets")
     classes = stage(nodes.where("key is not null").groupBy("key", "short", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
-    buckets = max(32, classes.count() // 4000)
+    buckets = max(32, classes.count() // SETS)
     g = stage(groups(signature_blocks(d, join, buckets)), "groups")
     leaders = g.where(F.col("kind") == HOT_LEADER).select("sig", F.col("a").alias("leader"))
     more = g.where(F.col("kind") == MORE).select("sig", F.col("a").alias("short")).distinct()
