@@ -282,9 +282,9 @@ def groups(blocks: DataFrame) -> DataFrame:
         """The votes and the members of some signatures, all places of a signature among them."""
         o = np.lexsort((key, sig))
         sig, key = sig[o], key[o]
-        once = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
+        once = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])][:len(sig)]      # a part may be empty
         sig, key = sig[once], key[once]
-        first = np.nonzero(np.r_[True, sig[1:] != sig[:-1]])[0]
+        first = np.nonzero(np.r_[True, sig[1:] != sig[:-1]][:len(sig)])[0]
         size = np.diff(np.r_[first, len(sig)])
         sizes, leader = np.repeat(size, size), np.repeat(key[first], size)
         pair = (sizes > 1) & (key != leader)
