@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stage
+from .common import give_back, ship_by_value, stage
 
 ship_by_value(__name__)
 
@@ -27,6 +27,7 @@ MARKS = ".,;:!?"
 ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES_MEET = re.compile(r"\s\s|^\s|\s\Z")
+TEXTS = 250           # texts of an Arrow batch that are Python strings at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,22 +36,26 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # ---------------------------------------------------------------------------------------------
 
 class WordIds:
-    """Token ids (little-endian uint32 bytes) of space-led words, looked up once per word.
+    """Token ids (little-endian uint32 bytes) of space-led words, looked up in a table of the words met before.
 
     A byte-level BPE splits a text into words before merging. A single space between two characters that are not white space
-    always begins such a word, so a text cut there has the same ids piece by piece."""
+    always begins such a word, so a text cut there has the same ids piece by piece. Most different words of a corpus are rare: a word
+    stays in the table from the second call that has it, until then only the slot of its hash is marked."""
 
-    def __init__(self, tokenizer, most: int = 800_000):
-        self.tokenizer, self.most, self.table = tokenizer, most, {}
+    def __init__(self, tokenizer, most: int = 400_000, slots: int = 1 << 22):
+        self.tokenizer, self.most, self.slots, self.table = tokenizer, most, slots, {}
+        self.met, self.marked = bytearray(slots), 0
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """In parts: an encoding takes far more room than its ids."""
+        parts = (texts[i:i + 2_000] for i in range(0, len(texts), 2_000))
+        return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
-    def learn(self, words) -> None:
-        """Letters with one mark behind them are two words to the tokenizer: the letters are learned, the mark is added."""
+    def learn(self, words) -> list[str]:
+        """Letters with one mark behind them are two words to the tokenizer: the letters are learned, the mark is added. Returns the words added."""
         table = self.table
         if len(table) > self.most:
-            table.clear()
+            self.table = table = {}
         new = [w for w in words if w not in table]
         marked = [w for w in new if w[-1] in MARKS and w[:-1].isalpha()]
         plain = {w for w in new if w[-1] not in MARKS or not w[:-1].isalpha()}
@@ -59,14 +64,29 @@ class WordIds:
         if marked:
             mark = dict(zip(MARKS, self.ids_of(list(MARKS))))
             table.update((w, table[w[:-1]] + mark[w[-1]]) for w in marked)
+        return [*plain, *marked]
+
+    def drop_rare(self, added: list[str]) -> None:
+        """Of the words added, those met for the first time leave the table. Slots are cleared when a quarter is marked, or rare words would pass for met ones."""
+        if self.marked > self.slots // 4:
+            self.met, self.marked = bytearray(self.slots), 0
+        table, met, last = self.table, self.met, self.slots - 1
+        for w in added:
+            at = hash(w) & last
+            if not met[at]:
+                met[at] = 1
+                self.marked += 1
+                del table[w]
 
     def texts_ids(self, texts: list[str]) -> list[bytes]:
         split = [space_led(t) for t in texts]
         later = [w[1:] if w else [] for w in split]
-        self.learn(set().union(*later))
+        added = self.learn(set().union(*later))
         heads = self.ids_of([w[0] if w else t for t, w in zip(texts, split)])
         # itemgetter gives one item bare, so single words are looked up on their own
-        return [h + (b"".join(itemgetter(*w)(self.table)) if len(w) > 1 else self.table[w[0]] if w else b"") for h, w in zip(heads, later)]
+        out = [h + (b"".join(itemgetter(*w)(self.table)) if len(w) > 1 else self.table[w[0]] if w else b"") for h, w in zip(heads, later)]
+        self.drop_rare(added)
+        return out
 
 
 def space_led(text: str) -> list[str] | None:
@@ -112,13 +132,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
         known = known_words(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = [(d, *p) for d, ids in zip(part.column(0).to_pylist(), known.texts_ids(texts)) for p in cut(ids + end, capacity)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32()] + [pa.int64()] * 3)],
                                                  names=[c.split()[0] for c in PIECES.split(", ")])
+                del part, texts, rows, cols
+            del b       # before the next one comes
+            give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
 

@@ -24,7 +24,21 @@ ship_by_value(__name__)
 def forget_tables() -> None:
     """Drop what tasks of other operators have kept in this Python worker for their next task: Spark gives a worker tasks of all stages, and the
     kept tables of one would stand in the memory of the next. They only save work."""
-    sys.modules.pop("best_two_fit_worker", None)
+    if sys.modules.pop("best_two_fit_worker", None):
+        give_back()
+
+
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system. Spark keeps workers for later tasks and stages, beside the executor's JVM; what
+    their allocators keep at hand would stand in the memory of those."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+    if trim:
+        trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import forget_tables, labelled_sample, ship_by_value
+from .common import forget_tables, give_back, labelled_sample, ship_by_value
 
 ship_by_value(__name__)
 
@@ -228,5 +228,7 @@ def keep_documents(docs: DataFrame, crf: Crf, rules: Rules = Rules(), text_col:
             texts = b.column(b.schema.get_field_index(text_col))
             parts = (texts.slice(i, TEXTS).to_pylist() for i in range(0, b.num_rows, TEXTS))
             yield b.filter(pa.array([judge(t, crf, rules)[6] for part in parts for t in part], pa.bool_()))
+            del b, texts, parts
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_tables, ship_by_value, stage
+from .common import forget_tables, give_back, ship_by_value, stage
 from .graph import components, merged
 
 ship_by_value(__name__)
@@ -190,6 +190,8 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
                 keys.append(set_key(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
                                               pa.array([k and short_key(k) for k in keys], pa.int64())], names=["doc_id", "n_shingles", "key", "short"])
+            del b
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, short long")
 
@@ -251,6 +253,8 @@ def signature_blocks(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
             edge = np.r_[cut, len(to)]
             yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array([key[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary()),
                                               pa.array([sig[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())], schema=schema)
+            del sig, key, to, o, first, rank, more, cut, edge
+            give_back()
 
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, sigs binary")
 
@@ -306,7 +310,10 @@ def groups(blocks: DataFrame) -> DataFrame:
         sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), U)
         if table.column("bucket")[0].as_py() < 0:
             return out(MORE, sig, key, key)
-        return grouped(sig, key)
+        found = grouped(sig, key)
+        del sig, key
+        give_back()
+        return found
 
     return blocks.groupBy("bucket").applyInArrow(run, "kind int, sig long, a long, b long, n long, two long")
 
@@ -349,6 +356,8 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
                         rows.append((short_key(k), k, len(s), histogram(s), s.view(np.int64)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            del b, texts
+            give_back()
 
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"), "text") \
         .mapInArrow(run, "short long, key binary, n int, hist binary, items array<long>")
