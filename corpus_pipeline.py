@@ -36,7 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the pieces of all documents in sequences of 1024 tokens."""
-    return pack_queries.packed(docs)
+    return pack_queries.packed(docs, sparing=True)
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan),

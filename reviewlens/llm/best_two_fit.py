@@ -27,7 +27,8 @@ MARKS = ".,;:!?"
 ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES_MEET = re.compile(r"\s\s|^\s|\s\Z")
-TEXTS = 250           # texts of an Arrow batch that are Python strings at once
+TEXTS = 500           # texts of an Arrow batch that are Python strings at once
+SPARING = {"most": 400_000, "slots": 1 << 22}      # the word table of workers that other stages' memory stands beside, with half as many texts
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,10 +40,10 @@ class WordIds:
     """Token ids (little-endian uint32 bytes) of space-led words, looked up in a table of the words met before.
 
     A byte-level BPE splits a text into words before merging. A single space between two characters that are not white space
-    always begins such a word, so a text cut there has the same ids piece by piece. Most different words of a corpus are rare: a word
-    stays in the table from the second call that has it, until then only the slot of its hash is marked."""
+    always begins such a word, so a text cut there has the same ids piece by piece. Most different words of a corpus are rare: with ``slots``, a word
+    stays in the table from the second call that has it, until then only the slot of its hash is marked (less memory, some words are encoded twice)."""
 
-    def __init__(self, tokenizer, most: int = 400_000, slots: int = 1 << 22):
+    def __init__(self, tokenizer, most: int = 800_000, slots: int = 0):
         self.tokenizer, self.most, self.slots, self.table = tokenizer, most, slots, {}
         self.met, self.marked = bytearray(slots), 0
 
@@ -85,7 +86,8 @@ class WordIds:
         heads = self.ids_of([w[0] if w else t for t, w in zip(texts, split)])
         # itemgetter gives one item bare, so single words are looked up on their own
         out = [h + (b"".join(itemgetter(*w)(self.table)) if len(w) > 1 else self.table[w[0]] if w else b"") for h, w in zip(heads, later)]
-        self.drop_rare(added)
+        if self.slots:
+            self.drop_rare(added)
         return out
 
 
@@ -99,18 +101,18 @@ def space_led(text: str) -> list[str] | None:
     return text.split(" ")
 
 
-def known_words(tokenizer_path: str) -> WordIds:
+def known_words(tokenizer_path: str, sparing: bool = False) -> WordIds:
     """This Python worker's table for a tokenizer: Spark gives a worker one task after the other, and what one has learned the next one needs. The
     table is bounded (``most``) and only saves work, so a new worker begins with an empty one."""
     import sys
     import types
 
     held = sys.modules.setdefault("best_two_fit_worker", types.ModuleType("best_two_fit_worker")).__dict__.setdefault("tables", {})
-    if tokenizer_path not in held:
+    if (tokenizer_path, sparing) not in held:
         from tokenizers import Tokenizer
 
-        held[tokenizer_path] = WordIds(Tokenizer.from_file(tokenizer_path))
-    return held[tokenizer_path]
+        held[tokenizer_path, sparing] = WordIds(Tokenizer.from_file(tokenizer_path), **SPARING if sparing else {})
+    return held[tokenizer_path, sparing]
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -121,7 +123,8 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     return [(i, a, b - a, zlib.crc32(memoryview(ids)[4 * a:4 * b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text",
+           sparing: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Null texts are empty: only the end id."""
     import pyarrow as pa
 
@@ -129,11 +132,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-        known = known_words(tokenizer_path)
+        known, at_once = known_words(tokenizer_path, sparing), TEXTS // 2 if sparing else TEXTS
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, TEXTS):
-                part = b.slice(i, TEXTS)
+            for i in range(0, b.num_rows, at_once):
+                part = b.slice(i, at_once)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = [(d, *p) for d, ids in zip(part.column(0).to_pylist(), known.texts_ids(texts)) for p in cut(ids + end, capacity)]
                 cols = list(zip(*rows))
@@ -258,6 +261,6 @@ def pack(cut_pieces: DataFrame, capacity: int = 1024, per_group: int = 100_000)
                          F.element_at("offsets", (k % F.col("each") + 1).cast("int")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, sparing: bool = False) -> DataFrame:
     """Tokenize once into a stage table, then pack it."""
-    return pack(stage(pieces(docs, tokenizer_path, end_id, capacity), "pieces"), capacity)
+    return pack(stage(pieces(docs, tokenizer_path, end_id, capacity, sparing=sparing), "pieces"), capacity)

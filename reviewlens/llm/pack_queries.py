@@ -8,10 +8,10 @@ from . import best_two_fit
 from .common import documents
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, sparing: bool = False) -> DataFrame:
     import public_tokenizers
 
-    return best_two_fit.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return best_two_fit.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), sparing=sparing)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def plain(texts):
 
 
 def test_words_met_once_leave_the_table():
-    known = WordIds(Letters())
+    known = WordIds(Letters(), slots=1 << 22)
     first = ["a cat, sat on one", "a cat sat off two,", "", "alone", " led", "a  b"]
     assert known.texts_ids(first) == plain(first)
     assert not known.table
