@@ -14,8 +14,10 @@ survive are searched. Nothing is approximate: elimination only removes what the
 for rounding). Vectors without structure let little be eliminated; then anchors meet all rows in blocks.
 
 The split points come from a sample of at most ``SAMPLE`` rows (those whose id hashes lowest); the tree has at most ``FANOUT ** DEPTH``
-leaves, so it is bounded and travels with the tasks. Leaves beyond ``BLOCK`` rows are searched in blocks, dealt by row, so a leaf that holds a third of
-all rows, or of all copies, is many equal tasks.
+leaves, so it is bounded and travels with the tasks. Neighbouring leaves are searched together as one group of about ``BLOCK`` rows (of a 256th of the rows where that
+is more, four times ``BLOCK`` at most); a larger leaf is a group of its own, searched in blocks, dealt by row, so a leaf that holds a third of all rows, or of all
+copies, is many equal tasks. Anchors are sent once per block, in pieces of at most ``SEND`` bytes, as the narrowest integers that hold the vectors, so what a task holds
+depends neither on the rows nor on the leaves.
 
 Defined cases: rows with a null label or vector or a null or non-finite component take no part; a null id sorts last and is no anchor; shorter
 vectors are padded with zeros; rows that repeat an id are rows of their own. Scores must fit 63 bits.
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stage
+from .common import give_back, ship_by_value, stage
 
 ship_by_value(__name__)
 
@@ -38,7 +40,10 @@ FANOUT, DEPTH = 8, 4
 SAMPLE = 8192
 LEAF, BLOCK = 1024, 4096     # rows wanted in a leaf, and at most (on average) in one block of it
 CHUNK = 256                  # anchors in one request
+SEND = 4 << 20               # bytes of requests that a task holds before it hands them on
+AT_ONCE = 64                 # anchors whose scores with a block are held at once
 NULL_ID = np.iinfo(np.int64).max
+REQUEST = ["leaf", "block", "anchors", "windows", "wanted"]
 MEMBER = "uid long, vec_id long, label int, v array<bigint>"
 
 
@@ -51,7 +56,9 @@ class Tree:
     def __init__(self, points: np.ndarray, rows: int, dim: int, top: float):
         """``points``: the sample (floats), ``rows``: how many rows there are, ``top``: the largest squared norm."""
         self.dim, self.top, self.nodes, self.leaves = dim, top, [], 0
-        self.blocks: dict[int, int] = {}
+        self.groups: dict[int, int] = {}        # by leaf
+        self.blocks: dict[int, int] = {}        # by group
+        self.kind = next(k for k, over in ((np.int16, 2.0 ** 30), (np.int32, 2.0 ** 61), (np.int64, np.inf)) if top < over or over == np.inf)
         per_point = rows / max(1, len(points))
         self.root = self._split(np.unique(points, axis=0) if len(points) else points, points, per_point, 0)
         self.near = [np.full((len(n[0]),) * 2, np.inf) for n in self.nodes]
@@ -194,44 +201,63 @@ def placed(rows: DataFrame, tree: Tree) -> DataFrame:
 
 
 def blocks(rows: DataFrame, tree: Tree) -> DataFrame:
-    """A stage table (leaf, block, n, data): a leaf's rows in equal blocks, each packed into one row. Learns the number of blocks of each leaf."""
-    for r in rows.groupBy("leaf").count().collect():        # one row a leaf
-        tree.blocks[r.leaf] = -(-r["count"] // BLOCK)
-    n = F.element_at(F.create_map(*[F.lit(x) for kv in tree.blocks.items() for x in kv]), F.col("leaf")) if tree.blocks else F.lit(1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("uid"), n).cast("int"))
+    """A stage table (leaf, block, n, data): the rows of a group of leaves in equal blocks, each packed into one row. Learns the groups and the number of blocks of each;
+    a group is named after its first leaf."""
+    counts = sorted((r.leaf, r["count"]) for r in rows.groupBy("leaf").count().collect())        # one row a leaf
+    most = min(4 * BLOCK, max(BLOCK, sum(n for _, n in counts) // 256))
+    group, held = None, 0
+    for leaf, n in counts:
+        if group is None or held + n > most:
+            group, held = leaf, 0
+        held += n
+        tree.groups[leaf], tree.blocks[group] = group, -(-held // most)
+    named = rows.sparkSession.createDataFrame([(leaf, g, tree.blocks[g]) for leaf, g in tree.groups.items()], "leaf int, first int, of int")
+    dealt = rows.join(F.broadcast(named), "leaf").withColumn("block", F.expr("pmod(xxhash64(uid), of)").cast("int")).drop("leaf").withColumnRenamed("first", "leaf")
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         ids = g["vec_id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64)
-        data = b"".join([g["uid"].to_numpy(np.int64).tobytes(), ids.tobytes(), g["label"].to_numpy(np.int64).tobytes(), matrix(g["v"], tree.dim).tobytes()])
+        data = b"".join([g["uid"].to_numpy(np.int64).tobytes(), ids.tobytes(), g["label"].to_numpy(np.int64).tobytes(), matrix(g["v"], tree.dim).astype(tree.kind).tobytes()])
         return pd.DataFrame({"leaf": [g["leaf"].iloc[0]], "block": [g["block"].iloc[0]], "n": [len(g)], "data": [data]})
 
     # ids as text keep null apart from numbers
-    return stage(dealt.withColumn("vec_id", F.col("vec_id").cast("string")).groupBy("leaf", "block").applyInPandas(pack, "leaf int, block int, n int, data binary"), "negative-blocks")
+    packed = dealt.select("leaf", "block", "uid", F.col("vec_id").cast("string").alias("vec_id"), "label", "v")
+    return stage(packed.groupBy("leaf", "block").applyInPandas(pack, "leaf int, block int, n int, data binary"), "negative-blocks")
 
 
 # -- search -----------------------------------------------------------------------------------------------------------------------
 
 def requests(anchors: DataFrame, tree: Tree, own: bool) -> DataFrame:
-    """(leaf, block, anchors, windows, wanted): packed anchors for the blocks that they must meet: those of their own leaf, or those of all others that survive. ``anchors`` has
-    uid, label, v, leaf and the score windows low and high (arrays of doubles of one length)."""
+    """(leaf, block, anchors, windows, wanted): packed anchors for the blocks that they must meet: those of their own leaf's group, or those of all other groups with a leaf that
+    survives. ``anchors`` has uid, label, v, leaf and the score windows low and high (arrays of doubles of one length)."""
     def run(batches):
         for b in batches:
             for begin in range(0, len(b), CHUNK):
                 part = b.iloc[begin:begin + CHUNK]
-                v, leaf = matrix(part["v"], tree.dim), part["leaf"].to_numpy()
+                v = matrix(part["v"], tree.dim)
+                mine = np.array([tree.groups[k] for k in part["leaf"]])
                 low, high = (np.array(part[c].tolist(), dtype=np.float64).reshape(len(part), -1) for c in ("low", "high"))
                 keys = np.stack([part["uid"].to_numpy(np.int64), part["label"].to_numpy(np.int64)], 1)
-                out = []
-                if own:
-                    meet = ((k, np.flatnonzero(leaf == k), (low <= high)[leaf == k]) for k in np.unique(leaf))
-                else:
-                    meet = ((k, rows[leaf[rows] != k], on[leaf[rows] != k]) for k, rows, on in tree.survivors(v.astype(np.float64), low, high))
-                for k, rows, on in meet:
-                    if len(rows) and on.any():
-                        lo = np.where(on, low[rows], np.inf)
-                        wanted = b"".join(x.tobytes() for x in (keys[rows], v[rows], lo, high[rows]))
-                        out += [(int(k), block, len(rows), low.shape[1], wanted) for block in range(tree.blocks.get(int(k), 0))]
-                yield pd.DataFrame(out, columns=["leaf", "block", "anchors", "windows", "wanted"])
+                reached = {k: (low <= high) & (mine == k)[:, None] for k in np.unique(mine)} if own else {}
+                if not own:
+                    for k, rows, on in tree.survivors(v.astype(np.float64), low, high):
+                        k = tree.groups.get(k)
+                        if k is not None:
+                            reached.setdefault(k, np.zeros(low.shape, dtype=bool))[rows] |= on & (mine[rows] != k)[:, None]
+                out, held = [], 0
+                for k, on in reached.items():
+                    rows = np.flatnonzero(on.any(1))
+                    if not len(rows):
+                        continue
+                    lo = np.where(on[rows], low[rows], np.inf)
+                    wanted = b"".join(x.tobytes() for x in (keys[rows], lo, high[rows], v[rows].astype(tree.kind)))
+                    for block in range(tree.blocks[k]):
+                        out.append((int(k), block, len(rows), low.shape[1], wanted))
+                        held += len(wanted)
+                        if held >= SEND:
+                            yield pd.DataFrame(out, columns=REQUEST)
+                            out, held = [], 0
+                yield pd.DataFrame(out, columns=REQUEST)
+        give_back()
 
     return anchors.select("uid", "label", "v", "leaf", "low", "high").mapInPandas(run, "leaf int, block int, anchors int, windows int, wanted binary")
 
@@ -247,33 +273,39 @@ def first_k(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np
 def search(packed: DataFrame, asked: DataFrame, tree: Tree, k: int, same: bool) -> DataFrame:
     """(anchor, w, score, vec_id, uid): per request, window and block the first k rows of the anchor's label, itself aside, or of other labels (``same``
     False). One row of the join is one block and one chunk of anchors."""
-    dim = tree.dim
+    dim, kind = tree.dim, tree.kind
+    names = ["anchor", "w", "score", "vec_id", "uid"]
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                uids, ids, labels = np.frombuffer(r.data, np.int64, 3 * r.n).reshape(3, r.n)
-                v = np.frombuffer(r.data, np.int64, offset=24 * r.n).reshape(r.n, dim)
-                m, w = r.anchors, r.windows
-                keys = np.frombuffer(r.wanted, np.int64, 2 * m).reshape(m, 2)
-                q = np.frombuffer(r.wanted, np.int64, m * dim, 16 * m).reshape(m, dim)
-                low, high = np.frombuffer(r.wanted, np.float64, offset=16 * m + 8 * m * dim).reshape(2, m, w)
-                score = products(q, v)
-                for a in range(m):
-                    fits = (labels == keys[a, 1]) & (uids != keys[a, 0]) if same else labels != keys[a, 1]
-                    some = np.flatnonzero(fits & (score[a] >= low[a].min()))
-                    s = score[a, some]
-                    for x in range(w):
-                        inside = np.flatnonzero((s >= low[a, x]) & (s <= high[a, x]))
-                        best = some[inside[first_k(s[inside], ids[some[inside]], uids[some[inside]], k)]]
-                        out += [(keys[a, 0], x, score[a, i], ids[i], uids[i]) for i in best]
-            yield pd.DataFrame(out, columns=["anchor", "w", "score", "vec_id", "uid"])
+            for i in range(b.num_rows):
+                n, m, w = (b.column(c)[i].as_py() for c in ("n", "anchors", "windows"))
+                data, wanted = (b.column(c)[i].as_buffer() for c in ("data", "wanted"))
+                uids, ids, labels = np.frombuffer(data, np.int64, 3 * n).reshape(3, n)
+                v = np.frombuffer(data, kind, n * dim, 24 * n).reshape(n, dim).astype(np.int64)
+                keys = np.frombuffer(wanted, np.int64, 2 * m).reshape(m, 2)
+                low, high = np.frombuffer(wanted, np.float64, 2 * m * w, 16 * m).reshape(2, m, w)
+                q = np.frombuffer(wanted, kind, m * dim, 16 * m + 16 * m * w).reshape(m, dim).astype(np.int64)
+                out = []
+                for begin in range(0, m, AT_ONCE):
+                    score = products(q[begin:begin + AT_ONCE], v)
+                    for a, row in enumerate(score, begin):
+                        fits = (labels == keys[a, 1]) & (uids != keys[a, 0]) if same else labels != keys[a, 1]
+                        some = np.flatnonzero(fits & (row >= low[a].min()))
+                        s = row[some]
+                        for x in range(w):
+                            inside = np.flatnonzero((s >= low[a, x]) & (s <= high[a, x]))
+                            best = some[inside[first_k(s[inside], ids[some[inside]], uids[some[inside]], k)]]
+                            out += [(keys[a, 0], x, row[j], ids[j], uids[j]) for j in best]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
+        give_back()
 
     # a number of partitions of its own: the work is in the products, and sizes in bytes would let AQE merge it into few tasks
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = packed.repartition(parts, "leaf", "block").join(asked.repartition(parts, "leaf", "block"), ["leaf", "block"])
-    found = pairs.select("n", "data", "anchors", "windows", "wanted").mapInPandas(run, "anchor long, w int, score long, vec_id long, uid long")
+    found = pairs.select("n", "data", "anchors", "windows", "wanted").mapInArrow(run, "anchor long, w int, score long, vec_id long, uid long")
     return top(found, k)
 
 

@@ -78,3 +78,24 @@ def test_elimination_is_safe_and_happens():
     reached = {(a, k) for k, rows, on in tree.survivors(q, low[:, None], high[:, None]) for a in rows[on[:, 0]]}
     needed = {(a, leaf[i]) for a, i in zip(*np.nonzero((score >= low[:, None]) & (score <= high[:, None])))}
     assert needed <= reached and len(reached) < 0.5 * 50 * tree.leaves
+
+
+def test_requests_are_bounded(spark, monkeypatch):
+    """Many leaves: an anchor is sent once per block of neighbouring leaves, never wider than its vector needs, and no task holds more than a piece of its requests."""
+    monkeypatch.setattr(gt, "LEAF", 4)
+    monkeypatch.setattr(gt, "BLOCK", 64)
+    monkeypatch.setattr(gt, "SEND", 2000)
+    rng = np.random.default_rng(9)
+    rows = [(i, v, y) for i, v, y in vectors("noise", 600, rng)]
+    members = gt.members(frame(spark, rows))
+    tree = gt.build(members)
+    placed = gt.placed(members, tree)
+    packed = gt.blocks(placed, tree)
+    assert tree.leaves > 60 and packed.count() <= 2 * 600 / 64 and packed.agg({"n": "max"}).first()[0] <= 64
+    assert sum(r.n for r in packed.select("n").collect()) == 600
+    from pyspark.sql import functions as F
+    anchors = placed.where("vec_id % 50 = 0").withColumn("low", F.array(F.lit(float("-inf")))).withColumn("high", F.array(F.lit(float("inf"))))
+    asked = gt.requests(anchors, tree, own=True).unionByName(gt.requests(anchors, tree, own=False)).collect()
+    assert sum(r.anchors for r in asked) == 12 * packed.count()
+    assert all(len(r.wanted) == r.anchors * (16 + 16 + 2 * 8) for r in asked)
+    assert got(gt.mine(members)) == plain(rows)
